@@ -229,15 +229,15 @@ class PieceTokenizer:
                 split.append((i, t.lower().split()))
             else:
                 whole.append(i)
-        new = set().union(*(c for _, c in split)) - self.chunks.keys() if split else set()
+        new = [c for c in set().union(*(c for _, c in split)) if c not in self.chunks]
         if len(self.chunks) + len(new) > CACHE:
             self.chunks.clear()
-            new = set().union(*(c for _, c in split))
+            new = list(set().union(*(c for _, c in split)))
         if new:
             cuts = {c: self.cut(c) for c in new}
             if len(self.pieces) > CACHE:
                 self.pieces.clear()
-            unseen = list(set().union(*cuts.values()) - self.pieces.keys())
+            unseen = [p for p in set().union(*cuts.values()) if p not in self.pieces]
             self.pieces.update(zip(unseen, self._library(unseen)))
             get = self.pieces.__getitem__
             self.chunks.update((c, b"".join(map(get, p))) for c, p in cuts.items())
