@@ -108,8 +108,9 @@ _SEPARATORS = str.maketrans("-,.", "   ")
 
 
 def may_spell(t: str) -> bool:
-    """Whether a text has two spelled digits at all; looking for runs in every text would be slow."""
-    return sum(map(DIGIT_OF.__contains__, t.lower().translate(_SEPARATORS).split())) > 1
+    """Whether two spelled digits stand near each other at all; looking for runs in every text would be slow."""
+    at = [i for i, w in enumerate(t.lower().translate(_SEPARATORS).split()) if w in DIGIT_OF]
+    return any(b - a <= 3 for a, b in zip(at, at[1:]))
 
 
 class Mapped:
