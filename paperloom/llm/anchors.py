@@ -72,9 +72,8 @@ class Dealer:
         order = np.lexsort((h["b"], h["a"])) if self.wide else np.argsort(h)
         h, d, p = h[order], d[order], p[order]
         first = np.concatenate([[True], h[1:] != h[:-1]])
-        ends = np.append(np.flatnonzero(first)[1:], len(h))
-        many = np.repeat(np.diff(np.append(np.flatnonzero(first), len(h))) > 1, np.diff(np.append(np.flatnonzero(first), len(h))))
-        del ends
+        sizes = np.diff(np.append(np.flatnonzero(first), len(h)))
+        many = np.repeat(sizes > 1, sizes)
         rows = []
         # one of each hash goes to its range: alone with its place, or only as a repeated hash, with document -1
         top = (h["a"] if self.wide else h)[first]
@@ -210,6 +209,29 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, ranges: int | None =
     return gather(repeated_places(extended, ranges, True))
 
 
+def kept_words(text: str | None, blobs: list[bytes] | None, window: int = WINDOW) -> tuple[int, list[bytes]]:
+    """The number of a text's words, and those outside the windows that start at the given places."""
+    words = words_of(text)
+    if not blobs:
+        return len(words), words
+    covered = _covered(len(words), np.unique(np.frombuffer(b"".join(blobs), np.int32)), window)
+    return len(words), [w for w, c in zip(words, covered.tolist()) if not c]
+
+
+def strip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with the kept words, joined by one space, as text; a text that loses nothing stays as it is."""
+    places = repeated_windows(texts(docs, id_col, text_col), window).select(F.col("doc_id").alias("_at"), F.col("places").alias("_places"))
+
+    @F.pandas_udf("string")
+    def clean(s, p):
+        import pandas as pd
+
+        return pd.Series([t if b is None else b" ".join(kept_words(t, list(b), window)[1]).decode() for t, b in zip(s, p)], dtype=object)
+
+    joined = docs.join(places, docs[id_col].cast("long") == places["_at"], "left")
+    return joined.withColumn(text_col, clean(joined[text_col], joined["_places"])).select(*docs.columns)
+
+
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -225,13 +247,9 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for at in range(0, batch.num_rows, 512):
                 part, out = batch.slice(at, 512), []
                 for doc, text, blobs in zip(*(c.to_pylist() for c in part.columns)):
-                    words = words_of(text)
-                    kept = words
-                    if blobs:
-                        covered = _covered(len(words), np.unique(np.frombuffer(b"".join(blobs), np.int32)), window)
-                        kept = [w for w, c in zip(words, covered.tolist()) if not c]
+                    n, kept = kept_words(text, blobs, window)
                     joined = b" ".join(kept)
-                    out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest()) + ((joined.decode(),) if with_text else ()))
+                    out.append((doc, n, n - len(kept), hashlib.sha256(joined).hexdigest()) + ((joined.decode(),) if with_text else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return marked.mapInArrow(clean, ddl)

@@ -27,6 +27,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 NOT_DIGIT = re.compile(r"[^0-9]")
+ANY_DIGIT = re.compile(r"[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -69,7 +70,7 @@ def _emails(t: str) -> list[tuple[int, int]]:
 def detect(t: str) -> dict[str, list[tuple[int, int]]]:
     """Base spans by kind: leftmost, not overlapping within a kind, failing matches dropped."""
     found = {"email": _emails(t) if "@" in t else [], "ip": [], "card": [], "phone": []}
-    if NOT_DIGIT.sub("", t):
+    if ANY_DIGIT.search(t):
         found["ip"] = [m.span() for m in IP.finditer(t) if _ip(m[0])]
         found["card"] = [m.span() for m in CARD.finditer(t) if len(m[0]) >= 14 and _card(m[0])]
         if "+" in t:
@@ -104,12 +105,11 @@ _SPACED_DOT = re.compile(r"(?i)\s+(?:dot|punkt|punto|point)\s+")
 #: Texts without any of these cannot be disguised in a way the transducers undo.
 _ODD = re.compile("[^\\x00-\\x7f\\xa1-\\xb6\\xb8-\\u0130\\u0132-\\u017f]")
 _HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|point|punkt|punto)\s*[\])}>]|\s(?:dot|punkt|punto|point)\s|\s@|@\s")
-_SEPARATORS = str.maketrans("-,.", "   ")
 
 
 def may_spell(t: str) -> bool:
     """Whether two spelled digits stand near each other at all; looking for runs in every text would be slow."""
-    at = [i for i, w in enumerate(t.lower().translate(_SEPARATORS).split()) if w in DIGIT_OF]
+    at = [i for i, w in enumerate(t.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()) if w in DIGIT_OF]
     return any(b - a <= 3 for a, b in zip(at, at[1:]))
 
 

@@ -150,3 +150,18 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return {"doc_id": ids, "score": s, "predicted": (s >= threshold).astype(np.int32)}
 
     return map_rows(stats, rows, "doc_id long, score double, predicted int").select("doc_id", held_out_col("doc_id").alias("held_out"), "score", "predicted")
+
+
+def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least the threshold."""
+    model = fit(with_statistics(docs, id_col, text_col), labels, label_col)
+
+    @F.pandas_udf("boolean")
+    def good(s):
+        import pandas as pd
+
+        compress = compressor()
+        x = np.array([statistics(t, compress) for t in s]).reshape(-1, len(NAMES))
+        return pd.Series(model.scores(x) >= threshold)
+
+    return docs.where(good(F.col(text_col)))

@@ -67,6 +67,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove words in windows of 35 words that also start elsewhere."""
+    from .anchors import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find personal data in every whole text."""
     from .pii import scan
@@ -74,7 +81,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_compression, op4_mpeg, op5_bpe, op6_urls, op7_toxicity, op9_pii)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked at a Jaccard similarity of 0.85 or more."""
+    from .jaccard import join_components
+
+    return join_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_compression, op4_mpeg, op5_bpe, op6_urls, op7_toxicity, op8_substrings, op9_pii, op10_jaccard)}
 
 OP6 = """
 WITH rows AS (
