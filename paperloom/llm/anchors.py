@@ -4,7 +4,7 @@ A word is removed if a window of ``WINDOW`` consecutive words that covers it als
 Hashing every window would shuffle a row for each word. Instead, runs of ``ANCHOR`` words are hashed only at positions
 that, modulo ``PERIOD``, lie in a difference cover: for any two positions i and j some shift below the period puts both
 on the cover, so two equal windows share an anchor at the same place in both. Anchors that occur once rule out the
-windows around them. The rest is extended: only windows that hold a repeated anchor get a full hash, of 128 bits, and
+windows around them. The rest is extended: only windows that hold a repeated anchor get a full hash, of 96 bits, and
 those that occur twice or more are removed.
 
 Both rounds deal out (hash, document, position) in blobs, one for each batch and hash range, so no row stands for a
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_schema, partitions, texts, window_hashes
+from .common import IdFilter, arrow_schema, partitions, saved, texts, window_hashes, word_hashes
 
 WINDOW = 35
 #: A perfect difference set: every residue modulo 21 is a difference of two of its members.
@@ -58,9 +58,9 @@ class Dealer:
         self.p: list[np.ndarray] = []
         self.n = 0
 
-    def add(self, doc: int, hashes: np.ndarray, places: np.ndarray) -> None:
+    def add(self, docs: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> None:
         self.h.append(hashes)
-        self.d.append(np.full(len(places), doc, np.int64))
+        self.d.append(docs)
         self.p.append(places.astype(np.int32))
         self.n += len(places)
 
@@ -75,11 +75,14 @@ class Dealer:
         sizes = np.diff(np.append(np.flatnonzero(first), len(h)))
         many = np.repeat(sizes > 1, sizes)
         rows = []
-        # one of each hash goes to its range: alone with its place, or only as a repeated hash, with document -1
-        top = (h["a"] if self.wide else h)[first]
-        route = ((top >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
-        cuts = np.searchsorted(route, np.arange(self.ranges + 1))
-        fh, fd, fp = h[first], np.where(many[first], -1, d[first]), p[first]
+        # one of each hash goes to its range: alone with its place, or only as a repeated hash, with document -1;
+        # in the texts' order, in which documents and places compress well
+        fd = np.where(many[first], -1, d[first])
+        back = np.argsort(order[first])
+        fh, fd, fp = h[first][back], fd[back], p[first][back]
+        route = (((fh["a"] if self.wide else fh) >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(route, kind="stable")
+        fh, fd, fp, cuts = fh[by], fd[by], fp[by], np.searchsorted(route[by], np.arange(self.ranges + 1))
         for r in range(self.ranges):
             a, b = cuts[r], cuts[r + 1]
             if a < b:
@@ -94,7 +97,8 @@ class Dealer:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), self.schema)], schema=self.schema)
 
 
-WIDE = np.dtype([("a", np.uint64), ("b", np.uint64)])
+#: 96 bits of a window.
+WIDE = np.dtype([("a", np.uint64), ("b", np.uint32)])
 
 
 def repeated_places(dealt: DataFrame, ranges: int, wide: bool) -> DataFrame:
@@ -139,13 +143,6 @@ def repeated_places(dealt: DataFrame, ranges: int, wide: bool) -> DataFrame:
     return spread.mapInArrow(run, PLACES)
 
 
-def anchor_hashes(h: np.ndarray, anchor: int = ANCHOR, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> tuple[np.ndarray, np.ndarray]:
-    """Positions on the cover and the hashes of the anchors there."""
-    all_ = window_hashes(h, anchor, BASES[0])
-    at = np.flatnonzero(np.isin(np.arange(len(all_)) % period, cover))
-    return at, all_[at]
-
-
 def _covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, starts, 1)
@@ -172,41 +169,46 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, ranges: int | None =
     anchor = window - PERIOD + 1
 
     def first_round(batches):
-        known, dealer = WordHashes(), Dealer(ranges, False)
+        dealer, on_cover = Dealer(ranges, False), np.isin(np.arange(PERIOD), COVER)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = words_of(text)
-                    if doc is not None and len(words) >= window:
-                        places, hashes = anchor_hashes(known.of(words), anchor)
-                        dealer.add(doc, hashes, places)
-                        if dealer.n >= BATCH:
-                            yield from dealer.deal()
+                h, begins = word_hashes([(t or "").encode() for t in part.column(1).to_pylist()])
+                if len(h) < window:
+                    continue
+                ids = np.array([-1 if d is None else d for d in part.column(0).to_pylist()], np.int64)
+                n = np.diff(begins)
+                n = np.where(part.column(0).is_valid().to_numpy(zero_copy_only=False), n, 0)[np.repeat(np.arange(len(n)), n)]
+                doc = np.repeat(np.arange(len(ids)), np.diff(begins))
+                place = np.arange(len(h)) - begins[doc]
+                ok = np.flatnonzero(on_cover[place % PERIOD] & (place + anchor <= n) & (n >= window))
+                if len(ok):
+                    dealer.add(ids[doc[ok]], window_hashes(h, anchor, BASES[0])[ok], place[ok])
+                if dealer.n >= BATCH:
+                    yield from dealer.deal()
         yield from dealer.deal()
 
     def second_round(batches):
-        known, dealer = WordHashes(), Dealer(ranges, True)
+        dealer = Dealer(ranges, True)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for doc, text, blobs in zip(*(c.to_pylist() for c in part.columns)):
-                    words = words_of(text)
-                    starts = candidate_windows(len(words), np.unique(np.frombuffer(b"".join(blobs), np.int32)), window, anchor)
-                    if not len(starts):
-                        continue
-                    h = known.of(words)
-                    both = np.empty(len(starts), WIDE)
-                    both["a"], both["b"] = (window_hashes(h, window, b)[starts] for b in BASES)
-                    dealer.add(doc, both, starts)
-                    if dealer.n >= BATCH:
-                        yield from dealer.deal()
+                h, begins = word_hashes([(t or "").encode() for t in part.column(1).to_pylist()])
+                both = np.empty(max(0, len(h) - window + 1), WIDE)
+                both["a"], both["b"] = window_hashes(h, window, BASES[0]), window_hashes(h, window, BASES[1]) >> np.uint64(32)
+                for i, (doc, blobs) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
+                    starts = candidate_windows(int(begins[i + 1] - begins[i]), np.unique(np.frombuffer(b"".join(blobs), np.int32)), window, anchor)
+                    if len(starts):
+                        dealer.add(np.full(len(starts), doc, np.int64), both[begins[i] + starts], starts)
+                if dealer.n >= BATCH:
+                    yield from dealer.deal()
         yield from dealer.deal()
 
     gather = lambda df: df.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    anchors = gather(repeated_places(docs.mapInArrow(first_round, DEALT), ranges, False))
-    extended = docs.join(anchors, "doc_id").select("doc_id", "text", "places").mapInArrow(second_round, DEALT)
-    return gather(repeated_places(extended, ranges, True))
+    anchors = gather(saved(repeated_places(docs.mapInArrow(first_round, DEALT), ranges, False)))
+    held = IdFilter(anchors).part(docs, "doc_id", True)
+    extended = held.join(anchors, "doc_id").select("doc_id", "text", "places").mapInArrow(second_round, DEALT)
+    return gather(saved(repeated_places(extended, ranges, True)))
 
 
 def kept_words(text: str | None, blobs: list[bytes] | None, window: int = WINDOW) -> tuple[int, list[bytes]]:
@@ -218,9 +220,17 @@ def kept_words(text: str | None, blobs: list[bytes] | None, window: int = WINDOW
     return len(words), [w for w, c in zip(words, covered.tolist()) if not c]
 
 
+def with_places(docs: DataFrame, places: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` and, in ``_places``, their repeated windows; only rows that may have any take part in the join."""
+    some = IdFilter(places)
+    key = docs.withColumn("_at", F.col(id_col).cast("long"))
+    hit = some.part(key, "_at", True).join(places.select(F.col("doc_id").alias("_at"), F.col("places").alias("_places")), "_at", "left")
+    return hit.unionByName(some.part(key, "_at", False).withColumn("_places", F.lit(None).cast("array<binary>"))).drop("_at")
+
+
 def strip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the kept words, joined by one space, as text; a text that loses nothing stays as it is."""
-    places = repeated_windows(texts(docs, id_col, text_col), window).select(F.col("doc_id").alias("_at"), F.col("places").alias("_places"))
+    marked = with_places(docs, repeated_windows(texts(docs, id_col, text_col), window), id_col)
 
     @F.pandas_udf("string")
     def clean(s, p):
@@ -228,8 +238,7 @@ def strip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
 
         return pd.Series([t if b is None else b" ".join(kept_words(t, list(b), window)[1]).decode() for t, b in zip(s, p)], dtype=object)
 
-    joined = docs.join(places, docs[id_col].cast("long") == places["_at"], "left")
-    return joined.withColumn(text_col, clean(joined[text_col], joined["_places"])).select(*docs.columns)
+    return marked.withColumn(text_col, clean(text_col, "_places")).select(*docs.columns)
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -239,7 +248,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """``doc_id, n_words, n_removed, kept_sha256`` (``, kept``: the kept words joined by one space) for each row."""
     ddl = RESULT + ", kept string" * with_text
     rows = texts(docs, id_col, text_col)
-    marked = rows.join(repeated_windows(rows, window, ranges), "doc_id", "left").select("doc_id", "text", "places")
+    marked = with_places(rows, repeated_windows(rows, window, ranges)).select("doc_id", "text", "_places")
 
     def clean(batches):
         schema = arrow_schema(ddl)

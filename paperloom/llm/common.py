@@ -100,23 +100,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit xxhash, cached; the cache is emptied when it holds ``limit`` words."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_TABLE = mix64(np.arange(1, 8 * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, and where each text's words begin in them (one more entry at the end).
+
+    Words are runs of bytes other than 0x20 and 0x09 to 0x0D. A byte's contribution is drawn from a table by its value
+    and place modulo 8, times a power for each 8 bytes before it; lengths are mixed in.
+    """
+    b = np.frombuffer(b"\n".join([*found, b""]), np.uint8)
+    inside = np.flatnonzero(~_SPACE[b])
+    if not len(inside):
+        return np.empty(0, np.uint64), np.zeros(len(found) + 1, np.int64)
+    first = np.empty(len(inside), bool)
+    first[0] = True
+    np.not_equal(inside[1:], inside[:-1] + 1, out=first[1:])
+    starts = np.flatnonzero(first)
+    lengths = np.diff(np.append(starts, len(inside)))
+    at = np.arange(len(inside)) - np.repeat(starts, lengths)
+    powers = np.full((int(lengths.max()) >> 3) + 1, 0xD1342543DE82EF95, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    with np.errstate(over="ignore"):
+        value = _TABLE[(at & 7) << 8 | b[inside]]
+        if len(powers) > 1:
+            value = value * powers[at >> 3]
+        h = mix64(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+    ends = np.cumsum([0] + [len(t) + 1 for t in found])
+    return h, np.searchsorted(inside[starts], ends)
 
 
 def window_hashes(h: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -140,3 +154,45 @@ def window_hashes(h: np.ndarray, size: int, base: int) -> np.ndarray:
             back[0] = 1
             out = (sums[size:] - sums[:n]) * np.multiply.accumulate(back)
         return mix64(out)
+
+
+#: Bits of an id filter, at most: 8 MB. Beyond that it lets more through, and a join does the rest.
+FILTER_BITS = 67_108_859
+
+
+class IdFilter:
+    """A bit for each id modulo a prime: says which rows can be left out of a join. Its size is bounded."""
+
+    def __init__(self, ids: DataFrame, column: str = "doc_id"):
+        n = ids.count()
+        self.bits = min(FILTER_BITS, next(p for p in range(max(1009, 8 * n) | 1, 2 * max(1009, 8 * n) + 3, 2) if p >= FILTER_BITS or all(p % q for q in range(3, int(p**0.5) + 1, 2))))
+        place = F.pmod(F.col(column), F.lit(self.bits))
+        words = np.zeros(-(-self.bits // 64), np.int64)
+        found = ids.where(F.col(column).isNotNull()).select((place / 64).cast("long").alias("w"), place.alias("p")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")).alias("v"))
+        for r in found.collect():
+            words[r["w"]] = r["v"]
+        self.shared = ids.sparkSession.sparkContext.broadcast(words)
+
+    def may_hold(self, ids: pa.Array) -> np.ndarray:
+        """False only for ids that aren't in the set; false for nulls."""
+        import pyarrow.compute as pc
+
+        p = np.mod(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), self.bits)
+        return ((self.shared.value[p >> 6] >> (p & 63) & 1) == 1) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
+
+    def part(self, df: DataFrame, column: str, inside: bool) -> DataFrame:
+        """The rows whose id may be in the set, or the others."""
+        at = df.columns.index(column)
+
+        def run(batches):
+            for batch in batches:
+                keep = pa.array(self.may_hold(batch.column(at).cast(pa.int64())) == inside)
+                yield batch.filter(keep)
+
+        return df.mapInArrow(run, df.schema)
+
+    def __getstate__(self):
+        return self.bits, self.shared
+
+    def __setstate__(self, state):
+        self.bits, self.shared = state

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_schema, partitions, saved, texts, window_hashes
+from .common import IdFilter, arrow_schema, partitions, saved, texts, window_hashes, word_hashes
 
 SHINGLE = 4
 PERCENT = 85
@@ -41,18 +41,25 @@ BASE = 0xC2B2AE3D27D4EB4F
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def shingle_set(text: str | None, known: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; of the whole sequence if it is shorter than one."""
-    words = (text or "").encode().translate(UPPER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    k = min(size, len(words))
-    return np.unique(window_hashes(known.of(words), k, BASE + 2 * k))
+def shingle_sets(found: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles; of its whole sequence if it is shorter than one."""
+    h, begins = word_hashes([(t or "").encode().translate(UPPER) for t in found])
+    whole, out = window_hashes(h, size, BASE + 2 * size), []
+    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
+        n = b - a
+        s = np.sort(whole[a : b - size + 1] if n >= size else window_hashes(h[a:b], max(n, 1), BASE + 2 * n))
+        if len(s) > 1:
+            new = np.empty(len(s), bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            s = s[new]
+        out.append(s)
+    return out
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
     """Parity of the number of shingles at each of 512 positions: two bitmaps differ in at most as many bits as sets do."""
-    return np.packbits((np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+    return np.packbits((np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -76,15 +83,15 @@ def signatures(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
     """For each document its set's digest, size and bitmap; and each task's counting sketch (rows with a ``chunk``)."""
 
     def run(batches):
-        known, schema, counts = WordHashes(), arrow_schema(SIGNATURES), np.zeros(SLOTS, np.uint32)
+        schema, counts = arrow_schema(SIGNATURES), np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, out = batch.slice(at, 512), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    s = shingle_set(text, known, size)
+                sets = shingle_sets(part.column(1).to_pylist(), size)
+                counts += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+                for doc, s in zip(part.column(0).to_pylist(), sets):
                     d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
                     out.append((None, doc, *d, len(s), bitmap(s)))
-                    np.add.at(counts, (s >> np.uint64(46)).astype(np.int64), 1)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         if counts.any():
             out = [(k, None, None, None, None, part.tobytes()) for k, part in enumerate(np.split(counts, CHUNKS))]
@@ -110,21 +117,27 @@ def sketch(signed: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefix(s: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of a set's adaptive prefix and, for each, the least number of matches whose prefix has it."""
-    n = len(s)
-    found = counts[(s >> np.uint64(46)).astype(np.int64)].astype(float)
-    order = np.lexsort((s, np.floor(2 * np.log2(found + 1))))
-    need = -(-percent * n // 100)
-    first = n - need + 1
-    most = min(MAX_MATCHES, need)
-    extra = np.maximum(found[order[: first + most - 1]] - usual, 0) + 1
-    sums = np.cumsum(extra)
-    cost = [sums[first + m - 2] * (1 + VERIFY / m**2) for m in range(1, most + 1)]
-    best = int(np.argmin(cost)) + 1
-    level = np.ones(first + best - 1, np.int32)
-    level[first:] = np.arange(2, best + 1)
-    return s[order[: first + best - 1]], level
+class Order:
+    """The global order of shingles, rare ones first, and the cost of matching each, from the summed sketch."""
+
+    def __init__(self, counts: np.ndarray):
+        used = counts[counts > 0]
+        self.rank = np.floor(2 * np.log2(counts + 1.0)).astype(np.uint64) << np.uint64(57)
+        self.cost = np.maximum(counts - (float(np.median(used)) if len(used) else 0.0), 0) + 1
+
+    def prefix(self, s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of a set's adaptive prefix and, for each, the least number of matches whose prefix has it."""
+        n = len(s)
+        slot = (s >> np.uint64(46)).astype(np.int64)
+        order = np.argsort(self.rank[slot] | (s & np.uint64((1 << 57) - 1)))
+        need = -(-percent * n // 100)
+        first = n - need + 1
+        most = min(MAX_MATCHES, need)
+        sums = np.cumsum(self.cost[slot[order[: first + most - 1]]])
+        best = min(range(1, most + 1), key=lambda m: sums[first + m - 2] * (1 + VERIFY / m**2))
+        level = np.ones(first + best - 1, np.int32)
+        level[first:] = np.arange(2, best + 1)
+        return s[order[: first + best - 1]], level
 
 
 DEALT = "route int, tokens binary, docs binary, levels binary"
@@ -134,8 +147,7 @@ ENTRIES = "token long, doc_id long, level int, matches int"
 def entries(rows: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
     """Prefix entries of shingles that two or more documents put out; equal sets within a batch count once."""
     ranges = RANGES * partitions(rows.sparkSession)
-    used = counts[counts > 0]
-    usual = float(np.median(used)) if len(used) else 0.0
+    order_of = Order(counts)
 
     def deal(tokens, docs, levels, schema):
         t, d, v = np.concatenate(tokens), np.concatenate(docs), np.concatenate(levels)
@@ -147,20 +159,19 @@ def entries(rows: DataFrame, counts: np.ndarray, size: int, percent: int) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     def put_out(batches):
-        known, schema = WordHashes(), arrow_schema(DEALT)
+        schema = arrow_schema(DEALT)
         tokens, docs, levels, n, seen = [], [], [], 0, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    s = shingle_set(text, known, size) if doc is not None else ()
-                    if not len(s):
+                for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), size)):
+                    if doc is None or not len(s):
                         continue
                     key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if key in seen:
                         continue
                     seen.add(key)
-                    t, level = prefix(s, counts, usual, percent)
+                    t, level = order_of.prefix(s, percent)
                     tokens.append(t)
                     docs.append(np.full(len(t), doc, np.int64))
                     levels.append(level.astype(np.int8) | np.int8(level[-1] << 4))
@@ -274,18 +285,20 @@ def crossing_pairs(grouped: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked. Each a's text goes once to every ``STAR`` of its partners, theirs follow."""
+    ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    rows = IdFilter(ids).part(rows, "doc_id", True).join(ids, "doc_id").dropDuplicates(["doc_id"])
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     members = dealt.join(rows.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text")
     leads = dealt.select("a", "part").distinct().join(rows.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
 
     def run(batches):
-        known, schema, at, lead = WordHashes(), arrow_schema(PAIRS), None, None
+        schema, at, lead = arrow_schema(PAIRS), None, None
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 out = []
-                for a, part, b, text in zip(*(c.to_pylist() for c in batch.slice(start, 256).columns)):
-                    s = shingle_set(text, known, size)
+                *keys, found = (c.to_pylist() for c in batch.slice(start, 256).columns)
+                for a, part, b, s in zip(*keys, shingle_sets(found, size)):
                     if b is None:
                         at, lead = (a, part), s
                     elif (a, part) == at and linked(lead, s, percent):
@@ -328,10 +341,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     split = shared.join(numbers, "token").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
 
     near = leader_pairs(split.join(reps, "rep").select("token", "own", "rep", "n", "data").repartition(n_parts, "token", "own").sortWithinPartitions("token", "own"), percent)
-    # only classes that share a shingle are ever verified: their texts are gathered once
-    needed = split.select(F.col("rep").alias("doc_id")).distinct()
-    wanted = saved(rows.join(needed, "doc_id").dropDuplicates(["doc_id"]))
-    links = saved(verified(saved(near), wanted, size, percent))
+    links = saved(verified(saved(near), rows, size, percent))
     first = components(links)
 
     comp = split.join(first, split["rep"] == first["id"], "left").select("token", "blocks", "own", "rep", "level", "matches", F.coalesce("comp", "rep").alias("comp"))
@@ -343,7 +353,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     crossing = saved(crossing_pairs(paired.repartition(n_parts, "token", "low", "high").sortWithinPartitions("token", "low", "high"), percent))
     final = first
-    more = saved(verified(crossing, wanted, size, percent))
+    more = saved(verified(crossing, rows, size, percent))
     if not more.isEmpty():
         label = lambda side: first.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
         bridges = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
