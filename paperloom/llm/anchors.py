@@ -101,16 +101,12 @@ class Dealer:
 WIDE = np.dtype([("a", np.uint64), ("b", np.uint32)])
 
 
+BUCKETS = "bucket int, docs binary, places binary"
+
+
 def repeated_places(dealt: DataFrame, ranges: int, wide: bool) -> DataFrame:
-    """Documents and places whose hash occurs twice or more, from dealt blobs; a document may get several rows."""
+    """``doc_id, places``: for each document, the places whose hash occurs twice or more, as one int32 blob."""
     kind = WIDE if wide else np.dtype(np.uint64)
-    schema = arrow_schema(PLACES)
-
-    def by_doc(d: np.ndarray, p: np.ndarray):
-        order = np.argsort(d, kind="stable")
-        d, p = d[order], p[order]
-        at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array([p[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(d)))], pa.binary())], schema=schema)
 
     def settle(hashes: list[bytes], docs: list[bytes], places: list[bytes]):
         h, d, p = np.frombuffer(b"".join(hashes), kind), np.frombuffer(b"".join(docs), np.int64), np.frombuffer(b"".join(places), np.int32)
@@ -121,26 +117,62 @@ def repeated_places(dealt: DataFrame, ranges: int, wide: bool) -> DataFrame:
         # a hash that a batch has settled counts as repeated by itself
         known = np.add.reduceat((d < 0).astype(np.int64), starts) > 0
         keep = np.repeat((sizes > 1) | known, sizes) & (d >= 0)
-        return by_doc(d[keep], p[keep])
+        return d[keep], p[keep]
 
     def run(batches):
-        at, held = None, ([], [], [])
+        at, held, out, n, schema = None, ([], [], []), [], 0, arrow_schema(BUCKETS)
+
+        def flush():
+            d, p = (np.concatenate(x) for x in zip(*out))
+            bucket = (d * 0x9E3779B1 & 0x7FFFFFFF) % ranges
+            order = np.argsort(bucket, kind="stable")
+            d, p, cuts = d[order], p[order], np.searchsorted(bucket[order], np.arange(ranges + 1))
+            rows = [(k, d[a:b].tobytes(), p[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
         for batch in batches:
             for route, settled, h, d, p in zip(*(c.to_pylist() for c in batch.columns)):
                 if settled:
-                    yield by_doc(np.frombuffer(d, np.int64), np.frombuffer(p, np.int32))
-                    continue
-                if route != at and held[0]:
-                    yield settle(*held)
-                    held = ([], [], [])
-                at = route
-                for x, y in zip(held, (h, d, p)):
-                    x.append(y)
+                    out.append((np.frombuffer(d, np.int64), np.frombuffer(p, np.int32)))
+                else:
+                    if route != at and held[0]:
+                        out.append(settle(*held))
+                        held = ([], [], [])
+                    at = route
+                    for x, y in zip(held, (h, d, p)):
+                        x.append(y)
+                n += len(p) // 4
+                if n > 8 * BATCH and out:
+                    yield flush()
+                    out, n = [], 0
         if held[0]:
-            yield settle(*held)
+            out.append(settle(*held))
+        if out:
+            yield flush()
+
+    def gather(batches):
+        at, held, schema = None, [], arrow_schema(PLACES)
+
+        def of_bucket():
+            d, p = (np.concatenate([np.frombuffer(x, t) for x in col]) for col, t in zip(zip(*held), (np.int64, np.int32)))
+            order = np.lexsort((p, d))
+            d, p = d[order], p[order]
+            at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            return pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array([p[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(d)))], pa.binary())], schema=schema)
+
+        for batch in batches:
+            for bucket, d, p in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != at and held:
+                    yield of_bucket()
+                    held = []
+                at = bucket
+                held.append((d, p))
+        if held:
+            yield of_bucket()
 
-    spread = dealt.repartition(partitions(dealt.sparkSession), "route").sortWithinPartitions("route")
-    return spread.mapInArrow(run, PLACES)
+    n = partitions(dealt.sparkSession)
+    found = dealt.repartition(n, "route").sortWithinPartitions("route").mapInArrow(run, BUCKETS)
+    return found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, PLACES)
 
 
 def _covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -197,26 +229,25 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, ranges: int | None =
                 both = np.empty(max(0, len(h) - window + 1), WIDE)
                 both["a"], both["b"] = window_hashes(h, window, BASES[0]), window_hashes(h, window, BASES[1]) >> np.uint64(32)
                 for i, (doc, blobs) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
-                    starts = candidate_windows(int(begins[i + 1] - begins[i]), np.unique(np.frombuffer(b"".join(blobs), np.int32)), window, anchor)
+                    starts = candidate_windows(int(begins[i + 1] - begins[i]), np.unique(np.frombuffer(blobs, np.int32)), window, anchor)
                     if len(starts):
                         dealer.add(np.full(len(starts), doc, np.int64), both[begins[i] + starts], starts)
                 if dealer.n >= BATCH:
                     yield from dealer.deal()
         yield from dealer.deal()
 
-    gather = lambda df: df.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    anchors = gather(saved(repeated_places(docs.mapInArrow(first_round, DEALT), ranges, False)))
+    anchors = saved(repeated_places(docs.mapInArrow(first_round, DEALT), ranges, False))
     held = IdFilter(anchors).part(docs, "doc_id", True)
     extended = held.join(anchors, "doc_id").select("doc_id", "text", "places").mapInArrow(second_round, DEALT)
-    return gather(saved(repeated_places(extended, ranges, True)))
+    return saved(repeated_places(extended, ranges, True))
 
 
-def kept_words(text: str | None, blobs: list[bytes] | None, window: int = WINDOW) -> tuple[int, list[bytes]]:
+def kept_words(text: str | None, blobs: bytes | None, window: int = WINDOW) -> tuple[int, list[bytes]]:
     """The number of a text's words, and those outside the windows that start at the given places."""
     words = words_of(text)
     if not blobs:
         return len(words), words
-    covered = _covered(len(words), np.unique(np.frombuffer(b"".join(blobs), np.int32)), window)
+    covered = _covered(len(words), np.unique(np.frombuffer(blobs, np.int32)), window)
     return len(words), [w for w, c in zip(words, covered.tolist()) if not c]
 
 
@@ -225,7 +256,7 @@ def with_places(docs: DataFrame, places: DataFrame, id_col: str = "doc_id") -> D
     some = IdFilter(places)
     key = docs.withColumn("_at", F.col(id_col).cast("long"))
     hit = some.part(key, "_at", True).join(places.select(F.col("doc_id").alias("_at"), F.col("places").alias("_places")), "_at", "left")
-    return hit.unionByName(some.part(key, "_at", False).withColumn("_places", F.lit(None).cast("array<binary>"))).drop("_at")
+    return hit.unionByName(some.part(key, "_at", False).withColumn("_places", F.lit(None).cast("binary"))).drop("_at")
 
 
 def strip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -236,7 +267,7 @@ def strip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     def clean(s, p):
         import pandas as pd
 
-        return pd.Series([t if b is None else b" ".join(kept_words(t, list(b), window)[1]).decode() for t, b in zip(s, p)], dtype=object)
+        return pd.Series([t if b is None else b" ".join(kept_words(t, b, window)[1]).decode() for t, b in zip(s, p)], dtype=object)
 
     return marked.withColumn(text_col, clean(text_col, "_places")).select(*docs.columns)
 

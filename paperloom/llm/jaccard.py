@@ -30,9 +30,16 @@ PERCENT = 85
 #: Counters of the sketch: 1 MB, whatever the corpus.
 SLOTS, CHUNKS = 1 << 18, 16
 BITS = 512
-MAX_MATCHES = 4
-#: Cost of verifying a candidate, in list entries.
-VERIFY = 8.0
+#: Numbers of matches that a document may ask for.
+MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+#: Cost of verifying a candidate, in list entries: at least, and for each shingle.
+VERIFY, VERIFY_EACH = 8.0, 0.02
+#: Groups that a class looks for leaders in: those of its shared shingles with the smallest hashes.
+LEADER_GROUPS = 4
+#: Leaders that a member is compared with. This only saves work: the second round looks at all pairs left apart.
+LEADERS = 64
+#: Longest bitmap for the longest texts, and the sizes of sets from which each doubling twice is used.
+LONG = ((800, 2048), (3000, 8192), (16000, 32768))
 #: Members of one group that one task compares at a time; members verified against one copy of a leader's text.
 BLOCK, STAR = 4096, 256
 FLUSH = 1 << 20
@@ -57,9 +64,26 @@ def shingle_sets(found: list[str | None], size: int = SHINGLE) -> list[np.ndarra
     return out
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the number of shingles at each of 512 positions: two bitmaps differ in at most as many bits as sets do."""
-    return np.packbits((np.bincount((shingles % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+def bitmap(shingles: np.ndarray, bits: int = BITS) -> bytes:
+    """Parity of the number of shingles at each position: two bitmaps differ in at most as many bits as the sets do."""
+    return np.packbits((np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def long_bitmap(shingles: np.ndarray) -> bytes | None:
+    """A bitmap in proportion to a large set; small sets have none besides the short one."""
+    bits = max((b for n, b in LONG if len(shingles) > n), default=0)
+    return bitmap(shingles, bits) if bits else None
+
+
+def folded(data: bytes, size: int) -> np.ndarray:
+    """A bitmap of fewer bytes: positions modulo a divisor are the exclusive or of the parts."""
+    return np.bitwise_xor.reduce(np.frombuffer(data, np.uint64).reshape(-1, size // 8), axis=0)
+
+
+def long_link(n_a: int, a: bytes, n_b: int, b: bytes, percent: int = PERCENT) -> bool:
+    """Whether two sizes and bitmaps of any lengths allow a link."""
+    size = min(len(a), len(b))
+    return bool(may_link(np.array(n_a), folded(a, size), n_b, folded(b, size), percent))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -76,7 +100,7 @@ def may_link(n: np.ndarray, maps: np.ndarray, n0, map0, percent: int = PERCENT)
     return (100 * np.minimum(n, n0) >= percent * np.maximum(n, n0)) & (100 * (total - differ) >= percent * (total + differ))
 
 
-SIGNATURES = "chunk int, doc_id long, d1 long, d2 long, n int, data binary"
+SIGNATURES = "chunk int, doc_id long, d1 long, d2 long, n int, data binary, long binary"
 
 
 def signatures(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -91,10 +115,10 @@ def signatures(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
                 for doc, s in zip(part.column(0).to_pylist(), sets):
                     d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
-                    out.append((None, doc, *d, len(s), bitmap(s)))
+                    out.append((None, doc, *d, len(s), bitmap(s), long_bitmap(s)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         if counts.any():
-            out = [(k, None, None, None, None, part.tobytes()) for k, part in enumerate(np.split(counts, CHUNKS))]
+            out = [(k, None, None, None, None, part.tobytes(), None) for k, part in enumerate(np.split(counts, CHUNKS))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return rows.mapInArrow(run, SIGNATURES)
@@ -132,15 +156,16 @@ class Order:
         order = np.argsort(self.rank[slot] | (s & np.uint64((1 << 57) - 1)))
         need = -(-percent * n // 100)
         first = n - need + 1
-        most = min(MAX_MATCHES, need)
+        most = min(MATCHES[-1], need)
         sums = np.cumsum(self.cost[slot[order[: first + most - 1]]])
-        best = min(range(1, most + 1), key=lambda m: sums[first + m - 2] * (1 + VERIFY / m**2))
-        level = np.ones(first + best - 1, np.int32)
+        verify = max(VERIFY, VERIFY_EACH * n)
+        best = min((m for m in MATCHES if m <= most), key=lambda m: sums[first + m - 2] * (1 + verify / m**2))
+        level = np.ones(first + best - 1, np.uint8)
         level[first:] = np.arange(2, best + 1)
         return s[order[: first + best - 1]], level
 
 
-DEALT = "route int, tokens binary, docs binary, levels binary"
+DEALT = "route int, tokens binary, docs binary, levels binary, needs binary"
 ENTRIES = "token long, doc_id long, level int, matches int"
 
 
@@ -149,18 +174,18 @@ def entries(rows: DataFrame, counts: np.ndarray, size: int, percent: int) -> Dat
     ranges = RANGES * partitions(rows.sparkSession)
     order_of = Order(counts)
 
-    def deal(tokens, docs, levels, schema):
-        t, d, v = np.concatenate(tokens), np.concatenate(docs), np.concatenate(levels)
+    def deal(tokens, docs, levels, needs, schema):
+        t, d, v, m = (np.concatenate(x) for x in (tokens, docs, levels, needs))
         route = (((t * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(route, kind="stable")
-        t, d, v = t[order], d[order], v[order]
+        t, d, v, m = t[order], d[order], v[order], m[order]
         cuts = np.searchsorted(route[order], np.arange(ranges + 1))
-        out = [(k, t[a:b].tobytes(), d[a:b].tobytes(), v[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        out = [(k, t[a:b].tobytes(), d[a:b].tobytes(), v[a:b].tobytes(), m[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     def put_out(batches):
         schema = arrow_schema(DEALT)
-        tokens, docs, levels, n, seen = [], [], [], 0, set()
+        tokens, docs, levels, needs, n, seen = [], [], [], [], 0, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -174,31 +199,31 @@ def entries(rows: DataFrame, counts: np.ndarray, size: int, percent: int) -> Dat
                     t, level = order_of.prefix(s, percent)
                     tokens.append(t)
                     docs.append(np.full(len(t), doc, np.int64))
-                    levels.append(level.astype(np.int8) | np.int8(level[-1] << 4))
+                    levels.append(level)
+                    needs.append(np.full(len(t), level[-1], np.uint8))
                     n += len(t)
                     if n >= FLUSH:
-                        yield deal(tokens, docs, levels, schema)
-                        tokens, docs, levels, n, seen = [], [], [], 0, set()
+                        yield deal(tokens, docs, levels, needs, schema)
+                        tokens, docs, levels, needs, n, seen = [], [], [], [], 0, set()
         if n:
-            yield deal(tokens, docs, levels, schema)
+            yield deal(tokens, docs, levels, needs, schema)
 
-    def shared(t, d, v, schema):
-        t, d, v = np.frombuffer(b"".join(t), np.uint64), np.frombuffer(b"".join(d), np.int64), np.frombuffer(b"".join(v), np.int8)
+    def shared(t, d, v, m, schema):
+        t, d, v, m = (np.frombuffer(b"".join(x), k) for x, k in zip((t, d, v, m), (np.uint64, np.int64, np.uint8, np.uint8)))
         order = np.argsort(t, kind="stable")
-        t, d, v = t[order], d[order], v[order]
+        t, d, v, m = t[order], d[order], v[order], m[order]
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         sizes = np.diff(np.append(starts, len(t)))
         keep = np.repeat(sizes > 1, sizes)
-        v = v[keep]
-        return pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(d[keep]), pa.array((v & 15).astype(np.int32)), pa.array((v >> 4).astype(np.int32))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(d[keep]), pa.array(v[keep].astype(np.int32)), pa.array(m[keep].astype(np.int32))], schema=schema)
 
     def meet(batches):
-        at, held, schema = None, ([], [], []), arrow_schema(ENTRIES)
+        at, held, schema = None, ([], [], [], []), arrow_schema(ENTRIES)
         for batch in batches:
             for route, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
                 if route != at and held[0]:
                     yield shared(*held, schema)
-                    held = ([], [], [])
+                    held = ([], [], [], [])
                 at = route
                 for x, y in zip(held, blobs):
                     x.append(y)
@@ -236,19 +261,21 @@ def _groups(batches, keys: int):
 
 
 def leader_pairs(grouped: DataFrame, percent: int) -> DataFrame:
-    """Pairs (leader, member) that may link, in each block of a group; linear in its members."""
+    """Pairs (leader, member) that may link, in each block of a group; rows are token, own, rep, n, data, sorted."""
 
     def run(batches):
-        schema, seen = arrow_schema(PAIRS), set()
-        for _, _, rep, n, maps in _groups(batches, 2):
-            order = np.argsort(rep)
-            rep, n, maps = rep[order], n[order].astype(np.int64), maps[order]
-            left = np.arange(len(rep))
-            while len(left) > 1:
-                lead, rest = left[0], left[1:]
-                hit = may_link(n[rest], maps[rest], n[lead], maps[lead], percent)
-                seen.update((int(rep[lead]), int(x)) for x in rep[rest[hit]])
-                left = rest[~hit]
+        schema, seen, at, leads = arrow_schema(PAIRS), set(), None, []
+        for batch in batches:
+            for token, own, rep, n, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (token, own) != at:
+                    at, leads = (token, own), []
+                # each member goes to the first leader that it may link with, or leads itself
+                for lead, n0, data0 in leads[:LEADERS]:
+                    if long_link(n, data, n0, data0, percent):
+                        seen.add((lead, rep))
+                        break
+                else:
+                    leads.append((rep, n, data))
             if len(seen) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*seen)], schema=schema)
                 seen = set()
@@ -262,27 +289,61 @@ def crossing_pairs(grouped: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that may link and share enough prefix shingles."""
 
     def run(batches):
-        schema = arrow_schema(HITS)
+        schema, held, size = arrow_schema(HITS), [], 0
+
+        def total():
+            a, b, needed, hit = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((b, a))
+            a, b, needed, hit = a[order], b[order], needed[order], hit[order]
+            at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            return a[at], b[at], needed[at], np.add.reduceat(hit, at)
+
+        def batch_of(cols):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
         for _, low, high, own, rep, n, level, matches, comp, maps in _groups(batches, 3):
             n = n.astype(np.int64)
             order = np.argsort(comp, kind="stable")
             own, rep, n, level, matches, comp, maps = (x[order] for x in (own, rep, n, level, matches, comp, maps))
             ends = np.searchsorted(comp, comp, "right")
-            for i in range(len(rep)):
+            for i in range(int(np.searchsorted(comp, comp[-1]))):  # all but the last component
                 rest = slice(ends[i], len(rep))
                 ok = may_link(n[rest], maps[rest], n[i], maps[i], percent)
                 if low[0] != high[0]:
                     ok &= own[rest] != own[i]
                 at = np.flatnonzero(ok) + ends[i]
+                needed = np.minimum(matches[at], matches[i])
+                at, needed = at[np.maximum(level[at], level[i]) <= needed], needed[np.maximum(level[at], level[i]) <= needed]
                 if len(at):
-                    needed = np.minimum(matches[at], matches[i])
-                    hit = np.maximum(level[at], level[i]) <= needed
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[at], rep[i])), pa.array(np.maximum(rep[at], rep[i])), pa.array(needed.astype(np.int32)), pa.array(hit.astype(np.int32))], schema=schema)
+                    held.append((np.minimum(rep[at], rep[i]), np.maximum(rep[at], rep[i]), needed.astype(np.int32), np.ones(len(at), np.int32)))
+                    size += len(at)
+            if size > FLUSH:
+                held = [total()]
+                size = len(held[0][0])
+                if size > FLUSH // 2:
+                    yield batch_of(held[0])
+                    held, size = [], 0
+        if held:
+            yield batch_of(total())
 
     found = grouped.mapInArrow(run, HITS)
     return found.groupBy("a", "b").agg(F.max("needed").alias("needed"), F.sum("hit").alias("hits")).where("hits >= needed").select("a", "b")
 
 
+def long_filter(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs that bitmaps in proportion to the sets allow."""
+
+    def run(batches):
+        schema = arrow_schema(PAIRS)
+        for batch in batches:
+            out = [(a, b) for a, b, n, data, m, other in zip(*(c.to_pylist() for c in batch.columns)) if long_link(n, data, m, other, percent)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+
+    side = lambda x: maps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("data").alias(f"data{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "dataa", "nb", "datab").mapInArrow(run, PAIRS)
+
+
 def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked. Each a's text goes once to every ``STAR`` of its partners, theirs follow."""
     ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
@@ -330,9 +391,9 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n_parts = partitions(docs.sparkSession)
     signed = saved(signatures(rows, size))
     counts = sketch(signed)
-    own = signed.where("chunk is null").select("doc_id", "d1", "d2", "n", "data")
+    own = signed.where("chunk is null").select("doc_id", "d1", "d2", "n", "data", "long")
     filled = own.where("n > 0 and doc_id is not null")
-    classes = saved(filled.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "data")).alias("x")).select("d1", "d2", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.data").alias("data")))
+    classes = saved(filled.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "data", "long")).alias("x")).select("d1", "d2", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.data").alias("data"), F.col("x.long").alias("long")))
     class_of = filled.select("doc_id", "d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep")
     found = entries(rows, counts, size, percent).join(class_of, "doc_id").groupBy("token", "rep").agg(F.min("level").alias("level"), F.min("matches").alias("matches"))
     shared = saved(found)
@@ -340,7 +401,9 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     numbers = shared.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token", F.ceil(F.col("k") / block).alias("blocks"))
     split = shared.join(numbers, "token").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
 
-    near = leader_pairs(split.join(reps, "rep").select("token", "own", "rep", "n", "data").repartition(n_parts, "token", "own").sortWithinPartitions("token", "own"), percent)
+    best = F.coalesce("long", "data").alias("data")
+    few = split.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("token", "own"))), 1, LEADER_GROUPS).alias("x")).select("rep", F.inline("x"))
+    near = leader_pairs(few.join(classes.select("rep", "n", best), "rep").select("token", "own", "rep", "n", "data").repartition(n_parts, "token", "own").sortWithinPartitions("token", "own", "rep"), percent)
     links = saved(verified(saved(near), rows, size, percent))
     first = components(links)
 
@@ -351,7 +414,8 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     paired = comp.join(mixed, "token", "left_semi").select("*", other.alias("other")).join(reps, "rep").select(
         "token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "level", "matches", "comp", "data"
     )
-    crossing = saved(crossing_pairs(paired.repartition(n_parts, "token", "low", "high").sortWithinPartitions("token", "low", "high"), percent))
+    crossing = crossing_pairs(paired.repartition(n_parts, "token", "low", "high").sortWithinPartitions("token", "low", "high"), percent)
+    crossing = saved(long_filter(saved(crossing), classes.select("rep", "n", best), percent))
     final = first
     more = saved(verified(crossing, rows, size, percent))
     if not more.isEmpty():
