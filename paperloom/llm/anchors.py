@@ -106,7 +106,7 @@ BUCKETS = "bucket int, docs binary, places binary"
 
 def repeated_places(dealt: DataFrame, ranges: int, wide: bool) -> DataFrame:
     """``doc_id, places``: for each document, the places whose hash occurs twice or more, as one int32 blob."""
-    kind = WIDE if wide else np.dtype(np.uint64)
+    kind, n_parts = WIDE if wide else np.dtype(np.uint64), partitions(dealt.sparkSession)
 
     def settle(hashes: list[bytes], docs: list[bytes], places: list[bytes]):
         h, d, p = np.frombuffer(b"".join(hashes), kind), np.frombuffer(b"".join(docs), np.int64), np.frombuffer(b"".join(places), np.int32)
@@ -124,9 +124,9 @@ def repeated_places(dealt: DataFrame, ranges: int, wide: bool) -> DataFrame:
 
         def flush():
             d, p = (np.concatenate(x) for x in zip(*out))
-            bucket = (d * 0x9E3779B1 & 0x7FFFFFFF) % ranges
+            bucket = (d * 0x9E3779B1 & 0x7FFFFFFF) % n_parts
             order = np.argsort(bucket, kind="stable")
-            d, p, cuts = d[order], p[order], np.searchsorted(bucket[order], np.arange(ranges + 1))
+            d, p, cuts = d[order], p[order], np.searchsorted(bucket[order], np.arange(n_parts + 1))
             rows = [(k, d[a:b].tobytes(), p[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
@@ -170,9 +170,8 @@ def repeated_places(dealt: DataFrame, ranges: int, wide: bool) -> DataFrame:
         if held:
             yield of_bucket()
 
-    n = partitions(dealt.sparkSession)
-    found = dealt.repartition(n, "route").sortWithinPartitions("route").mapInArrow(run, BUCKETS)
-    return found.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, PLACES)
+    found = dealt.repartition(n_parts, "route").sortWithinPartitions("route").mapInArrow(run, BUCKETS)
+    return found.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, PLACES)
 
 
 def _covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:

@@ -166,11 +166,11 @@ class Order:
 
 
 DEALT = "route int, tokens binary, docs binary, levels binary, needs binary"
-ENTRIES = "token long, doc_id long, level int, matches int"
+ENTRIES = "token long, rep long, level int, matches int, k int"
 
 
 def entries(rows: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """Prefix entries of shingles that two or more documents put out; equal sets within a batch count once."""
+    """Prefix entries of shingles that two or more documents put out, and how many do; equal sets within a batch count once."""
     ranges = RANGES * partitions(rows.sparkSession)
     order_of = Order(counts)
 
@@ -215,7 +215,7 @@ def entries(rows: DataFrame, counts: np.ndarray, size: int, percent: int) -> Dat
         starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         sizes = np.diff(np.append(starts, len(t)))
         keep = np.repeat(sizes > 1, sizes)
-        return pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(d[keep]), pa.array(v[keep].astype(np.int32)), pa.array(m[keep].astype(np.int32))], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(t[keep].view(np.int64)), pa.array(d[keep]), pa.array(v[keep].astype(np.int32)), pa.array(m[keep].astype(np.int32)), pa.array(np.repeat(sizes, sizes)[keep].astype(np.int32))], schema=schema)
 
     def meet(batches):
         at, held, schema = None, ([], [], [], []), arrow_schema(ENTRIES)
@@ -302,6 +302,8 @@ def crossing_pairs(grouped: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
         for _, low, high, own, rep, n, level, matches, comp, maps in _groups(batches, 3):
+            if (comp == comp[0]).all():
+                continue
             n = n.astype(np.int64)
             order = np.argsort(comp, kind="stable")
             own, rep, n, level, matches, comp, maps = (x[order] for x in (own, rep, n, level, matches, comp, maps))
@@ -395,27 +397,31 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     filled = own.where("n > 0 and doc_id is not null")
     classes = saved(filled.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "data", "long")).alias("x")).select("d1", "d2", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.data").alias("data"), F.col("x.long").alias("long")))
     class_of = filled.select("doc_id", "d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep")
-    found = entries(rows, counts, size, percent).join(class_of, "doc_id").groupBy("token", "rep").agg(F.min("level").alias("level"), F.min("matches").alias("matches"))
-    shared = saved(found)
-    reps = classes.select("rep", "n", "data")
-    numbers = shared.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token", F.ceil(F.col("k") / block).alias("blocks"))
-    split = shared.join(numbers, "token").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
+    # copies of a class mostly stay out; those that the filter lets through link with it as any equal sets do
+    own_set = IdFilter(classes.select(F.col("rep").alias("doc_id")))
+    shared = saved(entries(own_set.part(rows, "doc_id", True), counts, size, percent))
+    reps = own_set.part(filled, "doc_id", True).select(F.col("doc_id").alias("rep"), "n", "data", "long").dropDuplicates(["rep"])
+    blocks = F.ceil(F.col("k") / block)
+    split = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
 
     best = F.coalesce("long", "data").alias("data")
     few = split.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("token", "own"))), 1, LEADER_GROUPS).alias("x")).select("rep", F.inline("x"))
-    near = leader_pairs(few.join(classes.select("rep", "n", best), "rep").select("token", "own", "rep", "n", "data").repartition(n_parts, "token", "own").sortWithinPartitions("token", "own", "rep"), percent)
+    near = leader_pairs(few.join(reps.select("rep", "n", best), "rep").select("token", "own", "rep", "n", "data").repartition(n_parts, "token", "own").sortWithinPartitions("token", "own", "rep"), percent)
     links = saved(verified(saved(near), rows, size, percent))
     first = components(links)
 
-    comp = split.join(first, split["rep"] == first["id"], "left").select("token", "blocks", "own", "rep", "level", "matches", F.coalesce("comp", "rep").alias("comp"))
-    comp = saved(comp)
-    mixed = comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    labelled = reps.select("rep", "n", "data").join(first, F.col("rep") == F.col("id"), "left").select("rep", "n", "data", F.coalesce("comp", "rep").alias("comp"))
+    comp = split.join(labelled, "rep")
+    # a group of several blocks is only replicated if it has more than one component
+    large = comp.where("blocks > 1")
+    mixed = large.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    paired = comp.join(mixed, "token", "left_semi").select("*", other.alias("other")).join(reps, "rep").select(
-        "token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "level", "matches", "comp", "data"
-    )
+    columns = ("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rep", "n", "level", "matches", "comp", "data")
+    paired = comp.where("blocks = 1").withColumn("other", F.lit(0).cast("long")).select(*columns)
+    if not large.isEmpty():
+        paired = paired.unionByName(large.join(mixed, "token", "left_semi").withColumn("other", other).select(*columns))
     crossing = crossing_pairs(paired.repartition(n_parts, "token", "low", "high").sortWithinPartitions("token", "low", "high"), percent)
-    crossing = saved(long_filter(saved(crossing), classes.select("rep", "n", best), percent))
+    crossing = saved(long_filter(saved(crossing), reps.select("rep", "n", best), percent))
     final = first
     more = saved(verified(crossing, rows, size, percent))
     if not more.isEmpty():
@@ -425,6 +431,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         merged = first.join(second, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
         alone = second.select(F.col("comp").alias("id"), F.col("top").alias("comp")).join(first.select("id"), "id", "left_anti")
         final = saved(merged.unionByName(alone))
+    # a class has its smallest id's label; a copy that slipped through links with that id and so has the same
     member = class_of.join(final, class_of["rep"] == final["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("component_id"))
     return own.join(member, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
