@@ -1,6 +1,421 @@
-"""The engine's named queries and their oracle SQL."""
+"""The engine's named queries and their oracle SQL.
+
+The test tables have no titles or authors, so columns stand in: a chunk is a row of ``documents``, its title the first
+line, its abstract characters 61 to 360, its author-like field ``source``; ``part`` and ``orders`` lend years.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import catalog, chunking, filters, search
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+QUERY = "the thing of and"
+Q_SQL = "'the thing of and'"
+TAGS = {"energy": ["ther", "energy"], "motion": ["tion"], "colour": ["rouge", "blau"]}
+INSTRUMENTS = {"alpha": r"\bThe\b", "beta": r"\b[A-Z]nd\b"}
+
+
+def query(sql: str | None = None):
+    """Register a query by its function's name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    t = F.split(F.col("text"), "\n")
+    return read(spark, d, "documents").select("*", F.get(t, 0).alias("title"), F.substring("text", 61, 300).alias("abstract"))
+
+
+TOKENS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
+BM25 = f"""
+toks AS (SELECT doc_id, {TOKENS} AS t FROM documents),
+corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM toks) GROUP BY term),
+idf0 AS (SELECT term, ln(n - df + 0.5e0) - ln(df + 0.5e0) AS idf FROM df, corpus),
+idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25e0 * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0),
+asked AS (SELECT term, count(*) AS times FROM (SELECT unnest(string_split({Q_SQL}, ' ')) AS term) GROUP BY term),
+tf AS (SELECT doc_id, len(t) AS dl, term, count(*) AS f FROM (SELECT doc_id, t, unnest(t) AS term FROM toks) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+hits AS (SELECT doc_id, sum(times * idf * f * 2.5e0 / (f + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS s FROM tf JOIN idf USING (term) JOIN asked USING (term), corpus GROUP BY doc_id),
+bm25 AS (SELECT doc_id, round(coalesce(s, 0e0), 6) AS score FROM toks LEFT JOIN hits USING (doc_id))
+"""
+DENSE = """
+qv AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
+dense AS (SELECT vec_id AS doc_id, round((1 + list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[])) / 2, 6) AS score FROM embeddings, qv)
+"""
+LEGS = """
+d20 AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM dense QUALIFY rank <= 20),
+s20 AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm25 QUALIFY rank <= 20)
+"""
+
+
+def query_vector(spark, d, ids=(0,)):
+    return read(spark, d, "embeddings").where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def dense_scores(spark, d):
+    return search.dense(read(spark, d, "embeddings"), query_vector(spark, d)).drop("query_id")
+
+
+def legs(spark, d, keep=None):
+    return search.ranked(dense_scores(spark, d), 20), search.ranked(search.bm25(documents(spark, d), QUERY, keep=keep), 20)
+
+
+@query(f"WITH {BM25} SELECT * FROM bm25")
+def bm25_scores(spark, d):
+    return search.bm25(documents(spark, d), QUERY)
+
+
+@query(f"WITH {BM25} SELECT * FROM bm25 ORDER BY score DESC, doc_id LIMIT 10")
+def bm25_topk(spark, d):
+    return search.top(search.bm25(documents(spark, d), QUERY), 10)
+
+
+@query(f"WITH {DENSE} SELECT * FROM dense ORDER BY score DESC, doc_id LIMIT 10")
+def dense_topk(spark, d):
+    return search.top(dense_scores(spark, d), 10)
+
+
+@query("""SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round((1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 6) AS score
+FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 1, 2) QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 5""")
+def dense_topk_multi(spark, d):
+    scored = search.dense(read(spark, d, "embeddings"), query_vector(spark, d, (0, 1, 2)))
+    return scored.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("rn <= 5").drop("rn")
+
+
+RRF = f"""WITH {BM25}, {DENSE}, {LEGS}, parts AS (SELECT doc_id, %s / (60 + rank) AS p FROM d20 UNION ALL SELECT doc_id, %s / (60 + rank) FROM s20),
+fused AS (SELECT doc_id, round(sum(p), 9) AS rrf FROM parts GROUP BY doc_id) """
+
+
+@query(RRF % ("0.7e0", "0.3e0") + "SELECT f.doc_id, rrf, source, n_chars FROM (SELECT * FROM fused ORDER BY rrf DESC, doc_id LIMIT 10) f LEFT JOIN documents USING (doc_id)")
+def hybrid_rrf(spark, d):
+    a, b = legs(spark, d)
+    best = search.rrf({"dense": a, "sparse": b}, 10, {"dense": 0.7, "sparse": 0.3})
+    # ten ranked ids are a bounded side
+    meta = documents(spark, d).join(F.broadcast(best.select("doc_id")), "doc_id", "left_semi").select("doc_id", "source", "n_chars")
+    return best.join(meta, "doc_id", "left")
+
+
+@query(RRF % ("1e0", "1e0") + "SELECT * FROM fused ORDER BY rrf DESC, doc_id LIMIT 10")
+def rrf_equal_weights(spark, d):
+    a, b = legs(spark, d)
+    return search.rrf({"dense": a, "sparse": b}, 10)
+
+
+@query(RRF % ("0.7e0", "0.3e0") + "SELECT doc_id, round(rrf / max(rrf) OVER (), 6) AS rrf FROM fused ORDER BY rrf DESC, doc_id LIMIT 10")
+def rrf_normalized(spark, d):
+    a, b = legs(spark, d)
+    return search.rrf({"dense": a, "sparse": b}, 10, {"dense": 0.7, "sparse": 0.3}, normalize=True)
+
+
+@query(f"""WITH {BM25}, {DENSE}, {LEGS}, l20 AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 20),
+parts AS (SELECT doc_id, 0.5e0 / (60 + rank) AS p FROM d20 UNION ALL SELECT doc_id, 0.3e0 / (60 + rank) FROM s20 UNION ALL SELECT doc_id, 1e0 / (60 + rank) FROM l20)
+SELECT doc_id, round(sum(p), 9) AS rrf FROM parts GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 10""")
+def rrf_three_systems(spark, d):
+    a, b = legs(spark, d)
+    by_length = search.ranked(read(spark, d, "documents").select("doc_id", F.col("n_chars").alias("score")), 20)
+    return search.rrf({"dense": a, "sparse": b, "length": by_length}, 10, {"dense": 0.5, "sparse": 0.3})
+
+
+@query(f"""WITH {BM25}, {DENSE}, {LEGS}, x AS (SELECT min(score) AS lo, max(score) AS hi FROM s20),
+parts AS (SELECT doc_id, score * 0.5e0 AS p FROM d20 UNION ALL SELECT doc_id, (score - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1e0 END) * 0.5e0 FROM s20, x)
+SELECT doc_id, round(sum(p), 6) AS score FROM parts GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
+def hybrid_alpha(spark, d):
+    a, b = legs(spark, d)
+    return search.blend(a, b, 0.5, 10)
+
+
+def _filtered(name, tree, where):
+    def f(spark, d):
+        return read(spark, d, "documents").where(filters.text_filter(tree, F.col("text"))).select("doc_id")
+
+    f.__name__ = name
+    query(f"SELECT doc_id FROM documents WHERE {where}")(f)
+
+
+_filtered("filter_contains", {"$contains": "tion"}, "contains(text, 'tion')")
+_filtered("filter_not_contains", {"$not_contains": "tion"}, "NOT contains(text, 'tion')")
+_filtered("filter_regex", {"$regex": "[0-9]+[.][0-9]+"}, "regexp_matches(text, '[0-9]+[.][0-9]+')")
+_filtered("filter_exact", filters.simple_filter("the", "exact"), "text = 'the'")
+_filtered("filter_and_or", {"$or": [filters.simple_filter("the", combine_with=["of"]), {"$regex": "^É"}]}, "(contains(text, 'the') AND contains(text, 'of')) OR regexp_matches(text, '^É')")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE lang IN ('en', 'de') AND n_chars >= 500 AND NOT source = 'src0'")
+def metadata_filter(spark, d):
+    tree = {"$and": [{"lang": {"$in": ["en", "de"]}}, {"n_chars": {"$gte": 500}}, {"source": {"$ne": "src0"}}]}
+    return read(spark, d, "documents").where(filters.metadata_filter(tree)).select("doc_id", "lang", "n_chars")
+
+
+@query(f"""WITH {BM25} SELECT b.doc_id, score, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS excerpt
+FROM bm25 b JOIN documents USING (doc_id) WHERE contains(text, 'tion') ORDER BY score DESC, b.doc_id LIMIT 10""")
+def fulltext_search(spark, d):
+    docs = documents(spark, d)
+    hits = search.top(search.bm25(docs, QUERY, keep=F.contains("text", F.lit("tion"))), 10)
+    return docs.join(F.broadcast(hits), "doc_id").select("doc_id", "score", tx.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(f"""WITH {BM25}, {DENSE}, ok AS (SELECT doc_id FROM documents WHERE lang = 'en'),
+d20 AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM dense SEMI JOIN ok USING (doc_id) QUALIFY rank <= 20),
+s20 AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm25 SEMI JOIN ok USING (doc_id) QUALIFY rank <= 20),
+parts AS (SELECT doc_id, 0.7e0 / (60 + rank) AS p FROM d20 UNION ALL SELECT doc_id, 0.3e0 / (60 + rank) FROM s20)
+SELECT doc_id, round(sum(p), 9) AS rrf FROM parts GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 10""")
+def filtered_hybrid(spark, d):
+    docs = documents(spark, d)
+    a = search.ranked(dense_scores(spark, d).join(docs.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi"), 20)
+    b = search.ranked(search.bm25(docs, QUERY, keep=F.col("lang") == "en"), 20)
+    return search.rrf({"dense": a, "sparse": b}, 10, {"dense": 0.7, "sparse": 0.3})
+
+
+@query(f"""WITH {BM25}, b AS (SELECT doc_id, round(score * CASE WHEN list_bool_or([contains(lower(split_part(text, chr(10), 1)), w) FOR w IN string_split({Q_SQL}, ' ')]) THEN 2.0e0 ELSE 1e0 END
+* CASE WHEN list_bool_or([contains(lower(substr(text, 61, 300)), w) FOR w IN string_split({Q_SQL}, ' ')]) THEN 1.5e0 ELSE 1e0 END, 6) AS score FROM bm25 JOIN documents USING (doc_id))
+SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 10""")
+def metadata_boost(spark, d):
+    docs = documents(spark, d)
+    hits = search.bm25(docs, QUERY).join(docs.select("doc_id", "title", "abstract"), "doc_id")
+    return search.top(search.metadata_boost(hits, QUERY), 10).select("doc_id", "score")
+
+
+OVERLAP = f"round(len(list_intersect(list_distinct(string_split({Q_SQL}, ' ')), {TOKENS})) / 4e0, 6)"
+
+
+@query(f"SELECT doc_id, {OVERLAP} AS score FROM documents ORDER BY score DESC, doc_id LIMIT 10")
+def rerank_overlap(spark, d):
+    return search.top(documents(spark, d).select("doc_id", search.overlap_score(F.col("text"), QUERY).alias("score")), 10)
+
+
+@query(RRF.replace("<= 20", "<= 100") % ("0.7e0", "0.3e0") + f", c AS (SELECT doc_id, rrf FROM fused ORDER BY rrf DESC, doc_id LIMIT 50) SELECT doc_id, coalesce({OVERLAP}, 0e0) AS score FROM c LEFT JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10")
+def search_with_rerank(spark, d):
+    docs = documents(spark, d)
+    a, b = search.ranked(dense_scores(spark, d), 100), search.ranked(search.bm25(docs, QUERY), 100)
+    best = search.rrf({"dense": a, "sparse": b}, 50, {"dense": 0.7, "sparse": 0.3})
+    scored = docs.join(F.broadcast(best.select("doc_id")), "doc_id").select("doc_id", search.overlap_score(F.col("text"), QUERY).alias("s"))
+    return search.top(best.select("doc_id").join(scored, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit(0.0)).alias("score")), 10)
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(source), 'src1') ORDER BY source DESC, lower(source), doc_id LIMIT 20 OFFSET 5")
+def author_search_page(spark, d):
+    return read(spark, d, "documents").where(F.contains(F.lower("source"), F.lit("src1"))).orderBy(F.desc("source"), F.lower("source"), "doc_id").offset(5).limit(20).select("doc_id", "source")
+
+
+@query("SELECT count(*) AS n, count_if(source <> 'src0')::BIGINT AS known, round(100e0 * count_if(source <> 'src0') / greatest(count(*), 1), 1) AS percent FROM documents")
+def author_quality_stats(spark, d):
+    known = F.count_if(F.col("source") != "src0")
+    return read(spark, d, "documents").agg(F.count("*").alias("n"), known.alias("known"), F.round(100.0 * known / F.greatest(F.count("*"), F.lit(1)), 1).alias("percent"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INT AS y FROM orders WHERE year(o_orderdate) = 1995 ORDER BY o_orderkey LIMIT 50")
+def year_search(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y")).where("y = 1995").orderBy("o_orderkey").limit(50)
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INT AS y FROM orders WHERE year(o_orderdate) BETWEEN 1994 AND 1995 ORDER BY o_orderkey LIMIT 50 OFFSET 10")
+def year_range_search(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y")).where("y BETWEEN 1994 AND 1995").orderBy("o_orderkey").offset(10).limit(50)
+
+
+@query("SELECT min(doc_id) AS doc_id, split_part(text, chr(10), 1) AS title FROM documents GROUP BY 2 ORDER BY doc_id LIMIT 50")
+def list_papers_page(spark, d):
+    return documents(spark, d).groupBy("title").agg(F.min("doc_id").alias("doc_id")).orderBy("doc_id").limit(50).select("doc_id", "title")
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id = 17")
+def get_metadata(spark, d):
+    return read(spark, d, "documents").where("doc_id = 17").select("doc_id", "lang", "source", "n_chars")
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT source) AS sources, min(length(text)) AS shortest, max(length(text)) AS longest, (sum(length(text)) // count(*))::BIGINT AS mean FROM documents")
+def collection_stats(spark, d):
+    n = F.length("text")
+    return read(spark, d, "documents").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"), F.min(n).cast("long").alias("shortest"), F.max(n).cast("long").alias("longest"), F.expr("sum(length(text)) div count(*)").alias("mean"))
+
+
+@query("SELECT source, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY source")
+def chunks_per_doc(spark, d):
+    return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
+
+
+def _projected(name, column, sql, table="documents", key="doc_id"):
+    def f(spark, d):
+        base = documents(spark, d) if table == "documents" else read(spark, d, table)
+        return base.select(key, column().alias("v"))
+
+    f.__name__ = name
+    query(f"SELECT {key}, {sql} AS v FROM {table}" if sql else None)(f)
+
+
+TITLE = "split_part(text, chr(10), 1)"
+NORM = f"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({TITLE}), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"
+STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+_projected("normalized_title", lambda: tx.normalized_title(F.col("title")), NORM)
+_projected("title_hash", lambda: tx.title_hash(tx.normalized_title(F.col("title"))), f"substr(sha256({NORM}), 1, 16)")
+_projected("item_key", lambda: tx.item_key(F.col("url")), "upper(substr(sha256(url), 1, 8))", "pages", "page_id")
+_projected("citation_key", lambda: tx.citation_key(F.array("c_name"), F.lit(1999)), "regexp_replace(list_last(string_split(c_name, ' ')), '[^A-Za-z0-9]', '', 'g') || '1999'", "customer", "c_custkey")
+_projected("extract_year", lambda: tx.filename_year(F.col("url")), "CASE WHEN TRY_CAST(regexp_extract(url, '([0-9]{4})', 1) AS INT) BETWEEN 1950 AND 2050 THEN TRY_CAST(regexp_extract(url, '([0-9]{4})', 1) AS INT) END", "pages", "page_id")
+_projected("truncate_prompt", lambda: tx.truncate(F.col("text"), 200), f"CASE WHEN length({STRIPPED}) <= 200 THEN {STRIPPED} ELSE regexp_replace(substr({STRIPPED}, 1, 200), ' [^ ]*$', '') || '...' END")
+_projected("token_count", lambda: tx.token_count(F.col("text")), f"floor(len({TOKENS}) * 1.3e0)::INT")
+_projected("chunk_estimate", lambda: tx.chunk_estimate(F.col("text")), "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor(length(text) / 4e0 / 924)::INT + 1) END")
+_projected("clean_text", lambda: tx.clean(F.col("text")), "regexp_replace(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[*_`]', '', 'g'), '^\\s+|\\s+$', '', 'g')")
+_projected("tags", lambda: F.array_join(tx.tags(F.col("text"), TAGS), ","), "array_to_string(list_filter([CASE WHEN contains(lower(text), 'rouge') OR contains(lower(text), 'blau') THEN 'colour' END, CASE WHEN contains(lower(text), 'ther') OR contains(lower(text), 'energy') THEN 'energy' END, CASE WHEN contains(lower(text), 'tion') THEN 'motion' END], lambda x: x IS NOT NULL), ',')")
+_projected("instruments", lambda: F.array_join(tx.instruments(F.col("text"), INSTRUMENTS), ","), "array_to_string(list_filter([CASE WHEN regexp_matches(text, '\\bThe\\b') THEN 'alpha' END, CASE WHEN regexp_matches(text, '\\b[A-Z]nd\\b') THEN 'beta' END], lambda x: x IS NOT NULL), ',')")
+_projected("extract_authors", lambda: F.array_join(tx.author_list(F.col("title")), "|"), None)
+_projected("extract_title", lambda: tx.pdf_title(F.col("text")), None)
+_projected("extract_doi", lambda: tx.doi(F.concat(F.lit("doi: 10.1234/x"), F.col("doc_id").cast("string"), F.lit("."))), "'10.1234/x' || doc_id")
+_projected("pdf_date_year", lambda: tx.pdf_date_year(F.concat(F.lit("D:"), F.year("o_orderdate").cast("string"), F.lit("0101"))), "year(o_orderdate)::INT", "orders", "o_orderkey")
+_projected("embedding_text", lambda: F.concat_ws("\n\n", F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Keywords: "), F.array_join(F.sort_array(F.array_union(F.array("lang", "source"), F.array("lang"))), ", ")), F.concat(F.lit("Content: "), "text")), f"'Title: ' || {TITLE} || chr(10) || chr(10) || 'Keywords: ' || array_to_string(list_sort(list_distinct([lang, source])), ', ') || chr(10) || chr(10) || 'Content: ' || text")
+
+
+@query("SELECT doc_id, coalesce(nullif(split_part(text, chr(10), 1), ''), 'Unknown') AS title, coalesce(source, 'Unknown') AS authors, 'Unknown' AS year, coalesce(lang, '') AS language, CASE WHEN n_chars > 1000 THEN 'True' ELSE 'False' END AS has_fulltext FROM documents")
+def metadata_projection(spark, d):
+    return documents(spark, d).select("doc_id", F.coalesce(tx.nonempty(F.col("title")), F.lit("Unknown")).alias("title"), F.coalesce("source", F.lit("Unknown")).alias("authors"), F.lit("Unknown").alias("year"), F.coalesce("lang", F.lit("")).alias("language"), F.when(F.col("n_chars") > 1000, "True").otherwise("False").alias("has_fulltext"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 11, 0) + 1, 90)) AS start FROM w WHERE len(w) > 0)
+SELECT doc_id, format('{}_{:03d}', doc_id, start // 90) AS chunk_id, (start // 90)::INT AS chunk_index, start > 0 AS has_overlap, array_to_string(w[start + 1 : start + 100], ' ') AS text FROM s""")
+def word_window_chunks(spark, d):
+    return chunking.word_windows(read(spark, d, "documents"))
+
+
+@query(None)
+def section_chunks(spark, d):
+    return chunking.sections(read(spark, d, "documents"), separator="\n")
+
+
+@query("SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))::INT AS n FROM documents")
+def sentence_split(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(F.split("text", r"(?<=[.!?])\s+")).alias("n"))
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS n FROM documents")
+def paragraph_split(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
+
+
+@query(None)
+def recursive_chunks(spark, d):
+    return chunking.recursive(read(spark, d, "documents"))
+
+
+@query(None)
+def packed_sentences(spark, d):
+    return chunking.sentences(read(spark, d, "documents"))
+
+
+@query(None)
+def markdown_chunks(spark, d):
+    return chunking.markdown(read(spark, d, "documents").withColumn("text", F.concat(F.lit("# "), F.col("text"))))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents),
+c AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS bucket, count(*) AS c FROM t GROUP BY ALL)
+SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS value FROM c""")
+def hash_embedding(spark, d):
+    return search.hash_embedding(read(spark, d, "documents"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'multimodal' ELSE 'text' END AS route FROM conversations WHERE regexp_matches(text, '\\S')")
+def embed_routing(spark, d):
+    return read(spark, d, "conversations").where(F.col("text").rlike(r"\S")).select("conv_id", "turn", F.when(F.col("role") == "user", "multimodal").otherwise("text").alias("route"))
+
+
+@query("SELECT sha256(text) AS key, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark, d):
+    return catalog.exact_groups(read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("key")), "key", "doc_id")
+
+
+@query(f"SELECT {NORM} AS title, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def title_groups(spark, d):
+    docs = documents(spark, d).select("doc_id", tx.normalized_title(F.col("title")).alias("title"))
+    return catalog.exact_groups(docs, "title", "doc_id")
+
+
+@query("SELECT doc_id, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(split_part(text, chr(10), 1)) ORDER BY n_chars DESC, doc_id) = 1")
+def best_version(spark, d):
+    return catalog.best_version(documents(spark, d), "title", [F.desc("n_chars"), "doc_id"]).select("doc_id", "source", "n_chars")
+
+
+@query(None)
+def fuzzy_title_pairs(spark, d):
+    titles = documents(spark, d).select("doc_id", F.substring(tx.normalized_title(F.col("title")), 1, 200).alias("title"))
+    return catalog.fuzzy_pairs(titles)
+
+
+def _events(spark, d):
+    e = read(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("mtime")).withColumnRenamed("user_id", "path")
+    return e, e.where(F.col("path") % 2 == 0).select("path", F.when(F.col("path") % 4 == 0, F.col("mtime")).otherwise(F.col("first")).alias("mtime"))
+
+
+SCAN = "e AS (SELECT user_id AS path, min(ts) AS first, max(ts) AS mtime FROM events GROUP BY 1), s AS (SELECT path, CASE WHEN path % 4 = 0 THEN mtime ELSE first END AS mtime FROM e WHERE path % 2 = 0)"
+
+
+@query(f"WITH {SCAN} SELECT path FROM e ANTI JOIN s ON e.path = s.path AND e.mtime <= s.mtime")
+def incremental_new(spark, d):
+    scan, state = _events(spark, d)
+    return catalog.to_index(scan, state).select("path")
+
+
+@query(f"WITH {SCAN} SELECT e.path, CASE WHEN s.path IS NULL THEN 'added' ELSE 'updated' END AS change FROM e LEFT JOIN s USING (path)")
+def classify_added_updated(spark, d):
+    scan, state = _events(spark, d)
+    return catalog.classify(scan, state).select("path", "change")
+
+
+@query(f"WITH {SCAN} SELECT path, mtime FROM e")
+def state_upsert(spark, d):
+    scan, state = _events(spark, d)
+    return catalog.upsert(state, scan.select("path", "mtime"), "path")
+
+
+@query("SELECT count(*) AS seen, count_if(event_type = 'purchase')::BIGINT AS indexed, count_if(value IS NULL)::BIGINT AS failed, max(ts) AS last FROM events")
+def index_statistics(spark, d):
+    return read(spark, d, "events").agg(F.count("*").alias("seen"), F.count_if(F.col("event_type") == "purchase").alias("indexed"), F.count_if(F.col("value").isNull()).alias("failed"), F.max("ts").alias("last"))
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id HAVING count(*) > 1")
+def duplicate_map(spark, d):
+    return read(spark, d, "events").groupBy("user_id").agg(F.size(F.collect_set("event_type")).cast("long").alias("kinds"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+@query("SELECT doc_id FROM documents SEMI JOIN (SELECT unnest([1, 2, 3, 5000000]) AS doc_id) USING (doc_id) WHERE doc_id NOT IN (2)")
+def sync_retry(spark, d):
+    failed = spark.range(1).select(F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3, 5000000)))).alias("doc_id"))
+    done = spark.range(2, 3).withColumnRenamed("id", "doc_id")
+    return read(spark, d, "documents").select("doc_id").join(failed, "doc_id", "left_semi").join(done, "doc_id", "left_anti")
+
+
+PACK = f"""WITH {BM25}, h AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm25 QUALIFY rank <= 5),
+p AS (SELECT rank, doc_id, CASE WHEN length({STRIPPED}) <= 1000 THEN {STRIPPED} ELSE regexp_replace(substr({STRIPPED}, 1, 1000), ' [^ ]*$', '') || '...' END AS passage FROM h JOIN documents USING (doc_id)),
+k AS (SELECT *, coalesce(sum(length(passage)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p WHERE passage <> ''),
+kept AS (SELECT row_number() OVER (ORDER BY rank)::INT AS label, doc_id, passage FROM k WHERE b < 2500) """
+
+
+def _packed(spark, d):
+    docs = documents(spark, d)
+    hits = search.ranked(search.bm25(docs, QUERY), 5)
+    return catalog.pack_context(docs.select("doc_id", "text").join(F.broadcast(hits), "doc_id"), 2500, 1000).select("label", "doc_id", "passage")
+
+
+@query(PACK + "SELECT * FROM kept")
+def rag_pack(spark, d):
+    return _packed(spark, d)
+
+
+@query(PACK + "SELECT string_agg('[' || label || '] ' || passage, chr(10) ORDER BY label) AS prompt FROM kept")
+def rag_prompt(spark, d):
+    lines = F.sort_array(F.collect_list(F.struct("label", F.concat(F.lit("["), F.col("label").cast("string"), F.lit("] "), "passage").alias("line"))))
+    return _packed(spark, d).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("prompt"))
