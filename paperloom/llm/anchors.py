@@ -33,7 +33,7 @@ PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Hashes gathered in a worker before they are dealt out.
-BATCH = 1 << 20
+BATCH = 1 << 19
 #: Hash ranges for each partition of the shuffle; memory is needed for one range at a time.
 RANGES = 4
 
@@ -202,8 +202,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, ranges: int | None =
     def first_round(batches):
         dealer, on_cover = Dealer(ranges, False), np.isin(np.arange(PERIOD), COVER)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 h, begins = word_hashes([(t or "").encode() for t in part.column(1).to_pylist()])
                 if len(h) < window:
                     continue
@@ -222,8 +222,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, ranges: int | None =
     def second_round(batches):
         dealer = Dealer(ranges, True)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 h, begins = word_hashes([(t or "").encode() for t in part.column(1).to_pylist()])
                 both = np.empty(max(0, len(h) - window + 1), WIDE)
                 both["a"], both["b"] = window_hashes(h, window, BASES[0]), window_hashes(h, window, BASES[1]) >> np.uint64(32)
@@ -283,8 +283,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def clean(batches):
         schema = arrow_schema(ddl)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, out = batch.slice(at, 512), []
+            for at in range(0, batch.num_rows, 128):
+                part, out = batch.slice(at, 128), []
                 for doc, text, blobs in zip(*(c.to_pylist() for c in part.columns)):
                     n, kept = kept_words(text, blobs, window)
                     joined = b" ".join(kept)

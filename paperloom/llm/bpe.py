@@ -25,7 +25,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 NOT_FOUND = 1 << 40
 LONG = 48
 #: Entries after which a worker's cache of encoded pieces starts afresh.
-CACHE = 500_000
+CACHE = 250_000
 
 
 def byte_letters() -> list[str]:

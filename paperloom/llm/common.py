@@ -156,43 +156,34 @@ def window_hashes(h: np.ndarray, size: int, base: int) -> np.ndarray:
         return mix64(out)
 
 
-#: Bits of an id filter, at most: 8 MB. Beyond that it lets more through, and a join does the rest.
+#: Bits of an id filter, at most: a million words of 64 bits. Beyond that it lets more through, and a join does the rest.
 FILTER_BITS = 67_108_859
 
 
+def _prime(n: int) -> int:
+    """The first prime from n on, n being over 2."""
+    n |= 1
+    while any(n % q == 0 for q in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
 class IdFilter:
-    """A bit for each id modulo a prime: says which rows can be left out of a join. Its size is bounded."""
+    """A bit for each id modulo a prime: says which rows can be left out of a join.
+
+    Its words are a table of at most ``FILTER_BITS`` / 64 rows, whatever the number of ids, and so can be broadcast;
+    tests are native expressions, so that no text passes through Python for them.
+    """
 
     def __init__(self, ids: DataFrame, column: str = "doc_id"):
-        n = ids.count()
-        self.bits = min(FILTER_BITS, next(p for p in range(max(1009, 8 * n) | 1, 2 * max(1009, 8 * n) + 3, 2) if p >= FILTER_BITS or all(p % q for q in range(3, int(p**0.5) + 1, 2))))
+        self.bits = min(FILTER_BITS, _prime(max(1009, 8 * ids.count())))
         place = F.pmod(F.col(column), F.lit(self.bits))
-        words = np.zeros(-(-self.bits // 64), np.int64)
-        found = ids.where(F.col(column).isNotNull()).select((place / 64).cast("long").alias("w"), place.alias("p")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")).alias("v"))
-        for r in found.collect():
-            words[r["w"]] = r["v"]
-        self.shared = ids.sparkSession.sparkContext.broadcast(words)
-
-    def may_hold(self, ids: pa.Array) -> np.ndarray:
-        """False only for ids that aren't in the set; false for nulls."""
-        import pyarrow.compute as pc
-
-        p = np.mod(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), self.bits)
-        return ((self.shared.value[p >> 6] >> (p & 63) & 1) == 1) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
+        words = ids.where(F.col(column).isNotNull()).select((place / 64).cast("long").alias("_w"), place.alias("p")).groupBy("_w")
+        self.words = saved(words.agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")).alias("_v")))
 
     def part(self, df: DataFrame, column: str, inside: bool) -> DataFrame:
-        """The rows whose id may be in the set, or the others."""
-        at = df.columns.index(column)
-
-        def run(batches):
-            for batch in batches:
-                keep = pa.array(self.may_hold(batch.column(at).cast(pa.int64())) == inside)
-                yield batch.filter(keep)
-
-        return df.mapInArrow(run, df.schema)
-
-    def __getstate__(self):
-        return self.bits, self.shared
-
-    def __setstate__(self, state):
-        self.bits, self.shared = state
+        """The rows whose id may be in the set, or the others, null ids among them."""
+        place = F.pmod(F.col(column).cast("long"), F.lit(self.bits))
+        marked = df.withColumn("_p", place).join(F.broadcast(self.words), (F.col("_p") / 64).cast("long") == F.col("_w"), "left")
+        hit = F.coalesce(F.expr("shiftright(_v, cast(pmod(_p, 64) as int)) & 1"), F.lit(0)) == 1
+        return marked.where(hit if inside else ~hit).select(*df.columns)

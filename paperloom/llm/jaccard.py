@@ -42,7 +42,7 @@ LEADERS = 64
 LONG = ((800, 2048), (3000, 8192), (16000, 32768))
 #: Members of one group that one task compares at a time; members verified against one copy of a leader's text.
 BLOCK, STAR = 4096, 256
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 RANGES = 4
 BASE = 0xC2B2AE3D27D4EB4F
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -109,8 +109,8 @@ def signatures(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
     def run(batches):
         schema, counts = arrow_schema(SIGNATURES), np.zeros(SLOTS, np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, out = batch.slice(at, 512), []
+            for at in range(0, batch.num_rows, 128):
+                part, out = batch.slice(at, 128), []
                 sets = shingle_sets(part.column(1).to_pylist(), size)
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
                 for doc, s in zip(part.column(0).to_pylist(), sets):
@@ -187,8 +187,8 @@ def entries(rows: DataFrame, counts: np.ndarray, size: int, percent: int) -> Dat
         schema = arrow_schema(DEALT)
         tokens, docs, levels, needs, n, seen = [], [], [], [], 0, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), size)):
                     if doc is None or not len(s):
                         continue
@@ -358,9 +358,9 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
     def run(batches):
         schema, at, lead = arrow_schema(PAIRS), None, None
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
+            for start in range(0, batch.num_rows, 64):
                 out = []
-                *keys, found = (c.to_pylist() for c in batch.slice(start, 256).columns)
+                *keys, found = (c.to_pylist() for c in batch.slice(start, 64).columns)
                 for a, part, b, s in zip(*keys, shingle_sets(found, size)):
                     if b is None:
                         at, lead = (a, part), s
