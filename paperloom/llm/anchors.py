@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, arrow_schema, partitions, saved, texts, window_hashes, word_hashes
+from .common import arrow_schema, IdFilter, partitions, saved, texts, trimmed, window_hashes, word_hashes
 
 WINDOW = 35
 #: A perfect difference set: every residue modulo 21 is a difference of two of its members.
@@ -170,8 +170,8 @@ def repeated_places(dealt: DataFrame, ranges: int, wide: bool) -> DataFrame:
         if held:
             yield of_bucket()
 
-    found = dealt.repartition(n_parts, "route").sortWithinPartitions("route").mapInArrow(run, BUCKETS)
-    return found.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, PLACES)
+    found = dealt.repartition(n_parts, "route").sortWithinPartitions("route").mapInArrow(trimmed(run), BUCKETS)
+    return found.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(gather), PLACES)
 
 
 def _covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -235,9 +235,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, ranges: int | None =
                     yield from dealer.deal()
         yield from dealer.deal()
 
-    anchors = saved(repeated_places(docs.mapInArrow(first_round, DEALT), ranges, False))
+    anchors = saved(repeated_places(docs.mapInArrow(trimmed(first_round), DEALT), ranges, False))
     held = IdFilter(anchors).part(docs, "doc_id", True)
-    extended = held.join(anchors, "doc_id").select("doc_id", "text", "places").mapInArrow(second_round, DEALT)
+    extended = held.join(anchors, "doc_id").select("doc_id", "text", "places").mapInArrow(trimmed(second_round), DEALT)
     return saved(repeated_places(extended, ranges, True))
 
 
@@ -291,4 +291,4 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     out.append((doc, n, n - len(kept), hashlib.sha256(joined).hexdigest()) + ((joined.decode(),) if with_text else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return marked.mapInArrow(clean, ddl)
+    return marked.mapInArrow(trimmed(clean), ddl)

@@ -18,14 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, texts
+from .common import arrow_schema, texts, trimmed
 
 #: Unicode White_Space, as the tokenizers library's pattern engine has it; plain str.split() knows four more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NOT_FOUND = 1 << 40
 LONG = 48
 #: Entries after which a worker's cache of encoded pieces starts afresh.
-CACHE = 250_000
+CACHE = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -189,7 +189,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
                     last = [ids, list(decoded)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array(x, f.type) for x, f in zip(last, list(schema)[2:]))], schema=schema)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, ddl)
+    return texts(docs, id_col, text_col).mapInArrow(trimmed(run), ddl)
 
 
 class PieceTokenizer:

@@ -30,6 +30,35 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, ARROW[t]) for n, t in (c.split() for c in ddl.split(", "))])
 
 
+def trimmed(run):
+    """A mapper that gives freed memory back when its task ends; workers live on, and would else keep their peak."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import contextlib
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
+#: Rows of a batch between Spark and Python, at most. Rows hold whole texts, so Spark's 10,000 would be tens of MB.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_rows(df: DataFrame, fn: Callable[..., dict | None], ddl: str) -> DataFrame:
     """Map slices of rows: ``fn(*columns as lists)`` gives output columns as a dict of lists or arrays."""
 
@@ -42,11 +71,12 @@ def map_rows(df: DataFrame, fn: Callable[..., dict | None], ddl: str) -> DataFra
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    return df.mapInArrow(run, ddl)
+    return df.mapInArrow(trimmed(run), ddl)
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Just ``doc_id`` and ``text`` of any table; other columns, whatever their names, play no part."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

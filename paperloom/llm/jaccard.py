@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, arrow_schema, partitions, saved, texts, window_hashes, word_hashes
+from .common import arrow_schema, IdFilter, partitions, saved, texts, trimmed, window_hashes, word_hashes
 
 SHINGLE = 4
 PERCENT = 85
@@ -121,7 +121,7 @@ def signatures(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
             out = [(k, None, None, None, None, part.tobytes(), None) for k, part in enumerate(np.split(counts, CHUNKS))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return rows.mapInArrow(run, SIGNATURES)
+    return rows.mapInArrow(trimmed(run), SIGNATURES)
 
 
 def sketch(signed: DataFrame) -> np.ndarray:
@@ -136,7 +136,7 @@ def sketch(signed: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint64).tobytes() for x in sums.values()], pa.binary())], schema=arrow_schema(ddl))
 
     out = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint64)
-    for r in signed.where("chunk is not null").select("chunk", "data").repartition(CHUNKS, "chunk").mapInArrow(total, ddl).collect():
+    for r in signed.where("chunk is not null").select("chunk", "data").repartition(CHUNKS, "chunk").mapInArrow(trimmed(total), ddl).collect():
         out[r["chunk"]] = np.frombuffer(r["data"], np.uint64)
     return out.ravel()
 
@@ -230,7 +230,7 @@ def entries(rows: DataFrame, counts: np.ndarray, size: int, percent: int) -> Dat
         if held[0]:
             yield shared(*held, schema)
 
-    return rows.mapInArrow(put_out, DEALT).repartition(partitions(rows.sparkSession), "route").sortWithinPartitions("route").mapInArrow(meet, ENTRIES)
+    return rows.mapInArrow(trimmed(put_out), DEALT).repartition(partitions(rows.sparkSession), "route").sortWithinPartitions("route").mapInArrow(trimmed(meet), ENTRIES)
 
 
 PAIRS = "a long, b long"
@@ -282,7 +282,7 @@ def leader_pairs(grouped: DataFrame, percent: int) -> DataFrame:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*seen)], schema=schema)
 
-    return grouped.mapInArrow(run, PAIRS).distinct()
+    return grouped.mapInArrow(trimmed(run), PAIRS).distinct()
 
 
 def crossing_pairs(grouped: DataFrame, percent: int) -> DataFrame:
@@ -328,7 +328,7 @@ def crossing_pairs(grouped: DataFrame, percent: int) -> DataFrame:
         if held:
             yield batch_of(total())
 
-    found = grouped.mapInArrow(run, HITS)
+    found = grouped.mapInArrow(trimmed(run), HITS)
     return found.groupBy("a", "b").agg(F.max("needed").alias("needed"), F.sum("hit").alias("hits")).where("hits >= needed").select("a", "b")
 
 
@@ -343,7 +343,7 @@ def long_filter(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
     side = lambda x: maps.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("data").alias(f"data{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "dataa", "nb", "datab").mapInArrow(run, PAIRS)
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "dataa", "nb", "datab").mapInArrow(trimmed(run), PAIRS)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -370,7 +370,7 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
     stars = leads.unionByName(members).repartition(partitions(rows.sparkSession), "a", "part")
-    return stars.sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, PAIRS)
+    return stars.sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(trimmed(run), PAIRS)
 
 
 def components(edges: DataFrame) -> DataFrame:

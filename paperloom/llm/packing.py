@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import piece_tokenizer
-from .common import arrow_schema, saved, texts
+from .common import arrow_schema, saved, texts, trimmed
 
 LENGTH = 4096
 END = 2
@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
                         rows.append((doc, k // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4) + ((piece,) if keep_ids else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, ddl)
+    return texts(docs, id_col, text_col).mapInArrow(trimmed(run), ddl)
 
 
 def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, granule: int = GRANULE, keep_ids: bool = False) -> DataFrame:
@@ -217,7 +217,7 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
 
     order = W.partitionBy("sequence_id").orderBy("slot")
     return (
-        ranked.mapInArrow(place, placed_ddl)
+        ranked.mapInArrow(trimmed(place), placed_ddl)
         .withColumn("offset", F.sum("length").over(order) - F.col("length"))
         .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids)
     )

@@ -18,7 +18,7 @@ import unicodedata
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows, texts
+from .common import map_rows, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -250,6 +250,8 @@ def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of the text column replaced by its kind; other columns and nulls stay."""
     from pyspark.sql import functions as F
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(s):
         return s.map(lambda t: None if t is None else redacted(t, sorted(sum(find(t), []))))

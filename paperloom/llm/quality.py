@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, held_out_col, map_rows, saved, texts
+from .common import arrow_schema, held_out_col, map_rows, saved, texts, trimmed
 
 STEP = 4096.0
 SHRINKAGE = 0.1
@@ -133,7 +133,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", label_i
         width = total.shape[1]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(2), width), pa.int32()), pa.array(np.tile(np.arange(width), 2), pa.int32()), pa.array(total.ravel())], schema=arrow_schema(ddl))
 
-    rows = stats.join(given, "doc_id").select("x", "y").mapInArrow(sums, ddl).groupBy("y", "k").agg(F.sum("v").alias("v")).collect()
+    rows = stats.join(given, "doc_id").select("x", "y").mapInArrow(trimmed(sums), ddl).groupBy("y", "k").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((2, 1 + d + d * d))
     for r in rows:
         total[r["y"], r["k"]] = r["v"]
