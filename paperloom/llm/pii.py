@@ -22,7 +22,8 @@ from .common import map_rows, small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# the look-behind and the possessive repeat change no match, but keep a long run of digits from being read again from each digit
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
@@ -39,7 +40,7 @@ def luhn(digits: str) -> bool:
 
 
 def _ip(m: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.split("."))
+    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.split("."))
 
 
 def _card(m: str) -> bool:
@@ -98,10 +99,12 @@ _WORD = "|".join(sorted(DIGIT_OF, key=len, reverse=True))
 _RUN = re.compile(rf"(?i)(?<![^\W_])(?:\+\s?|plus[\s-]+)?(?:{_WORD}|[0-9])(?:[\s,.-]{{1,2}}(?:(?:dot|point|punkt|punto)\s)?(?:{_WORD}|[0-9]+)){{{MIN_SPELLED - 1},}}(?![^\W_])")
 _TOKEN = re.compile(rf"(?i)plus|dot|point|punkt|punto|{_WORD}|[0-9]|\+|\.")
 _DOT_WORD = {"dot", "point", "punkt", "punto"}
-_BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*")
-_BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])}>]\s*")
-_SPACED = re.compile(r"(?i)([a-z0-9._%+-]+)(\s+at\s+|\s*@\s*)([a-z0-9-]+(?:(?:\s+(?:dot|punkt|punto|point)\s+|\.)[a-z0-9-]+)+)")
-_SPACED_DOT = re.compile(r"(?i)\s+(?:dot|punkt|punto|point)\s+")
+# blanks and words are read from the start of their run only, for time in proportion to the text
+_BRACKET_AT = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*")
+_BRACKET_DOT = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|\.|point|punkt|punto)\s*[\])}>]\s*")
+_SPACED_HERE = re.compile(r"(?i)([a-z0-9._%+-]++)(\s+at\s+|\s*@\s*)([a-z0-9-]+(?:(?:\s+(?:dot|punkt|punto|point)\s+|\.)[a-z0-9-]+)+)")
+_SPACED = re.compile("(?i)(?<![a-z0-9._%+-])" + _SPACED_HERE.pattern[4:])
+_SPACED_DOT = re.compile(r"(?i)(?<!\s)\s++(?:dot|punkt|punto|point)\s+")
 #: Texts without any of these cannot be disguised in a way the transducers undo.
 _ODD = re.compile("[^\\x00-\\x7f\\xa1-\\xb6\\xb8-\\u0130\\u0132-\\u017f]")
 _HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|point|punkt|punto)\s*[\])}>]|\s(?:dot|punkt|punto|point)\s|\s@|@\s")
@@ -170,11 +173,19 @@ def fold_spelled_digits(m: Mapped) -> None:
     m.replace([e for e in edits if e[0] < e[1]])
 
 
+def _spaced(t: str):
+    """Addresses with a spaced or spoken at; one may begin where the one before ends, else at the start of a word."""
+    at = 0
+    while m := _SPACED_HERE.match(t, at) or _SPACED.search(t, at):
+        yield m
+        at = m.end()
+
+
 def fold_at_and_dot(m: Mapped) -> None:
     m.replace([(x.start(), x.end(), "@") for x in _BRACKET_AT.finditer(m.text)])
     m.replace([(x.start(), x.end(), ".") for x in _BRACKET_DOT.finditer(m.text)])
     edits = []
-    for x in _SPACED.finditer(m.text):
+    for x in _spaced(m.text):
         if x.group(2).strip() == "@" or _SPACED_DOT.search(x[3]):
             edits.append((x.start(2), x.end(2), "@"))
             edits += [(x.start(3) + d.start(), x.start(3) + d.end(), ".") for d in _SPACED_DOT.finditer(x[3])]

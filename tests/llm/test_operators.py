@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import duckdb
@@ -210,12 +211,21 @@ def test_pii_spans():
         assert pii.find(t)[1] == []
 
 
-def brute_components(rows, percent=85):
+def test_pii_takes_time_in_proportion_to_long_runs():
+    n = 400_000
+    for t in ("1" * n, "0" * n + ".1.2.3", " " * n + "(at)", "x (at) " + " " * n, "а" + "a" * n + " at b", "1 " * (n // 2)):
+        began = time.perf_counter()
+        pii.find(t)
+        assert time.perf_counter() - began < 20
+    assert pii.detect("0" * n + "1.2.3.4")["ip"] == [(0, n + 7)]
+
+
+def brute_components(rows, percent=85, size=4):
     up = jaccard.UPPER
     sets = {}
     for i, t in rows:
         w = (t or "").encode().translate(up).split()
-        sets[i] = frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
+        sets[i] = frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
     root = {i: i for i in sets}
 
     def find(x):
@@ -233,8 +243,8 @@ def brute_components(rows, percent=85):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [4096, 20])
-def test_jaccard_equals_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "size", "percent"), [(4096, 4, 85), (20, 4, 85), (4096, 5, 80)])
+def test_jaccard_equals_brute_force(spark, block, size, percent):
     random.seed(4)
     base = [[str(random.randint(0, 400)) for _ in range(60)] for _ in range(4)]
     rows = []
@@ -244,8 +254,8 @@ def test_jaccard_equals_brute_force(spark, block):
             w[random.randrange(60)] = str(random.randint(0, 5000))
         rows.append((i, " ".join(w)))
     rows += [(1000, None), (1001, ""), (1002, "a b"), (1003, "A b"), (1004, "a b c d"), (1005, "a b c d a b c d"), (1007, "a b c")]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
-    assert got == brute_components(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), block=block, size=size, percent=percent).collect()}
+    assert got == brute_components(rows, percent, size)
 
 
 def test_bitmaps_never_exclude_a_link():
