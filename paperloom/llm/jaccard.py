@@ -436,9 +436,9 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return own.join(member, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their component, once each; rows with a null id stay."""
-    found = saved(join_components(docs, id_col=id_col, text_col=text_col))
+    found = saved(join_components(docs, id_col=id_col, text_col=text_col, size=size, percent=percent))
     stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
     key = F.col(id_col).cast("long")
     kept = docs.join(stay.select(F.col("doc_id").alias("_stay")), key == F.col("_stay"), "left_semi")

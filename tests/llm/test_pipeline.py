@@ -18,7 +18,7 @@ def test_stages(spark):
     assert good.columns == docs.columns
     assert {r["doc_id"] for r in good.collect()} == {r["doc_id"] for r in quality.score(docs, labels).collect() if r["predicted"]}
     one = corpus_pipeline.one_of_each_group(spark, good, DATA).cache()
-    groups = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(good).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(good, size=5, percent=80).collect()}
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(set(groups.values()))
     stripped = corpus_pipeline.without_repeated_passages(spark, one, DATA).cache()
     assert stripped.count() == one.count() and stripped.columns == docs.columns
