@@ -26,6 +26,8 @@ NOT_FOUND = 1 << 40
 LONG = 48
 #: Entries after which a worker's cache of encoded pieces starts afresh.
 CACHE = 200_000
+#: The same for the rank array's words and chunks together, about 200 bytes each.
+WORD_CACHE = 600_000
 
 
 def byte_letters() -> list[str]:
@@ -143,9 +145,9 @@ class RankArrayBPE:
         return self._chunk(first) + b"".join([get(c) or get_slow(c) for c in [" " + x for x in rest]])
 
     def encode(self, text: str) -> bytes:
-        if len(self.chunks) + len(self.words) > CACHE:
+        if len(self.chunks) + len(self.words) > WORD_CACHE:
             self.chunks.clear()
-            if len(self.words) > CACHE // 2:
+            if len(self.words) > WORD_CACHE // 2:
                 self.words.clear()
         if self.split_special and "<" in text:
             return b"".join(self.special[x] if x in self.special else self._plain(x) for x in self.split_special(text))
