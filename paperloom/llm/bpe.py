@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 NOT_FOUND = 1 << 40
 LONG = 48
 #: Entries after which a worker's cache of encoded pieces starts afresh.
-CACHE = 200_000
+CACHE = 400_000
 #: The same for the rank array's words and chunks together, about 200 bytes each.
 WORD_CACHE = 600_000
 
@@ -194,12 +195,71 @@ def encode_decode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
     return texts(docs, id_col, text_col).mapInArrow(trimmed(run), ddl)
 
 
+#: Ends a word in ``WordMerges``; no UTF-8 text holds this byte.
+WORD_END = b"\xff"
+
+
+class WordMerges(dict):
+    """Chunk -> ids, found once each, by a word-end BPE vocabulary's merges in tiktoken's engine.
+
+    The engine merges by the rank of the joined bytes, the file by the rank of a pair. The two agree where every
+    token's merge comes after those of its two parts and every token, encoded alone, gives itself: pairs that cover a
+    token's bytes and are not its own merge then never meet. ``of`` checks both and gives None for other files.
+    Values are ranks as native unsigned 32-bit integers; ``ids`` maps ranks to the file's ids.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], ids: np.ndarray, cut):
+        import tiktoken
+
+        super().__init__()
+        self.merge = tiktoken.Encoding("words", pat_str="\\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.ids, self.cut = ids, cut
+
+    @classmethod
+    def of(cls, model: dict, cut) -> WordMerges | None:
+        letters, vocab, suffix = byte_letters(), model["vocab"], model.get("end_of_word_suffix")
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        ends = [c + suffix for c in letters] if suffix else []
+        made = {a + b: k for k, (a, b) in enumerate(pairs)}
+        # 0xf8 to 0xff never stand in UTF-8 and so need no ids
+        if not suffix or len(made) < len(pairs) or not all(x in vocab for x in [*letters[:248], *ends[:248], *made]):
+            return None
+        if any(max(made.get(a, -1), made.get(b, -1)) >= k for k, (a, b) in enumerate(pairs)):
+            return None
+        order = {p: k for k, p in enumerate(pairs)}
+        for token in made:
+            word = token.removesuffix(suffix)
+            parts = [*word[:-1], word[-1] + token[len(word) :]]
+            while len(parts) > 1:
+                k, i = min((order.get(p, NOT_FOUND), i) for i, p in enumerate(zip(parts, parts[1:])))
+                if k == NOT_FOUND:
+                    return None
+                parts[i : i + 2] = ["".join(pairs[k])]
+        byte_of = {c: b for b, c in enumerate(letters)}
+        ranks, ids = {}, []
+        for token in [*letters, *ends[:255], *made]:
+            word = token.removesuffix(suffix)
+            ranks[bytes(map(byte_of.__getitem__, word)) + WORD_END * (word != token)] = len(ids)
+            ids.append(vocab.get(token, 0))
+        return cls(ranks, np.array(ids, "<u4"), cut)
+
+    def __missing__(self, chunk: str) -> bytes:
+        parts = [chunk] if chunk.isalpha() else self.cut(chunk)
+        if len(parts) > 1:
+            found = b"".join(map(self.__getitem__, parts))
+        else:
+            found = array("I", self.merge(chunk.encode() + WORD_END)).tobytes()
+        if len(chunk) <= 64:
+            self[chunk] = found
+        return found
+
+
 class PieceTokenizer:
     """Ids of a tokenizers-library file whose pieces never span white space, by cached pieces.
 
     Chunks between white space are cut into the file's own pre-tokens, lower-cased as its normaliser does; each new
-    piece is encoded once by the library. Texts in which that could differ (control characters that only Python
-    calls white space, or characters whose normal form differs) go to the library whole.
+    one is merged once. Texts in which that could differ (control characters that only Python calls white space, or
+    characters whose normal form differs) go to the library whole, and all texts where the file is of another kind.
     """
 
     def __init__(self, path: str):
@@ -211,41 +271,28 @@ class PieceTokenizer:
 
         self.library = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
-        self.by_piece = "Whitespace" in str(spec["pre_tokenizer"]) or "[^\\\\s" in json.dumps(spec["pre_tokenizer"])
+        by_piece = "Whitespace" in str(spec["pre_tokenizer"]) or "[^\\\\s" in json.dumps(spec["pre_tokenizer"])
         # the letters below lower-case one by one and are their own normal forms
         self.plain = re.compile("[\\t-\\r -~\\xa1-\\xff]*").fullmatch
-        self.cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+").findall
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+").findall
+        self.words = WordMerges.of(spec["model"], cut) if by_piece else None
 
     def _library(self, items: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(items, add_special_tokens=False)]
 
     def encode(self, items: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        words = self.words
+        if words is not None and len(words) > CACHE:
+            words.clear()
         out: list[bytes | None] = [None] * len(items)
-        split: list[tuple[int, list[str]]] = []
         whole: list[int] = []
         for i, t in enumerate(items):
-            if self.by_piece and self.plain(t) and "<|" not in t:
-                split.append((i, t.lower().split()))
+            if words is not None and self.plain(t) and "<|" not in t:
+                ranks = b"".join(map(words.__getitem__, t.lower().split()))
+                out[i] = words.ids[np.frombuffer(ranks, np.uint32)].tobytes()
             else:
                 whole.append(i)
-        new = [c for c in set().union(*(c for _, c in split)) if c not in self.chunks]
-        if len(self.chunks) + len(new) > CACHE:
-            self.chunks.clear()
-            new = list(set().union(*(c for _, c in split)))
-        if new:
-            cuts = {c: self.cut(c) for c in new}
-            if len(self.pieces) > CACHE:
-                self.pieces.clear()
-            unseen = [p for p in set().union(*cuts.values()) if p not in self.pieces]
-            self.pieces.update(zip(unseen, self._library(unseen)))
-            get = self.pieces.__getitem__
-            self.chunks.update((c, b"".join(map(get, p))) for c, p in cuts.items())
-        get = self.chunks.__getitem__
-        for i, c in split:
-            out[i] = b"".join(map(get, c))
         if whole:
             for i, x in zip(whole, self._library([items[i] for i in whole])):
                 out[i] = x

@@ -85,6 +85,33 @@ def test_packing_is_exact(spark, docs):
         assert at <= 4096
 
 
+def test_word_merges_equal_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, library = bpe.PieceTokenizer(path), Tokenizer.from_file(path)
+    assert tokenizer.words is not None
+    r = random.Random(3)
+    found = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzÀéßñªµ÷'.,!*019²\xa0 \n", k=r.randint(0, 50))) for _ in range(3000)]
+    found += ["", "a" * 5000, "It'S 'll b''s", "中 x", "a\x1cb", "<|endoftext|> x", "x" * 65 + " " + "x" * 65]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode(found)] == [e.ids for e in library.encode_batch(found, add_special_tokens=False)]
+
+
+def test_word_merges_refuse_files_that_could_differ():
+    letters = bpe.byte_letters()
+    end = [c + "</w>" for c in letters]
+
+    def of(*merges):
+        tokens = [*letters, *end, *(a + b for a, b in merges)]
+        return bpe.WordMerges.of({"vocab": {t: i for i, t in enumerate(tokens)}, "merges": list(merges), "end_of_word_suffix": "</w>"}, None)
+
+    assert of(("a", "b"), ("ab", "c</w>")) is not None
+    assert of(("ab", "c</w>"), ("a", "b")) is None  # a merge before its part's
+    assert of(("b", "c</w>"), ("a", "b"), ("ab", "c</w>")) is None  # abc never comes from (ab, c)
+    assert of(("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc")) is None  # two merges for one token
+
+
 def test_column_generation_wastes_little():
     random.seed(1)
     histogram = collections.Counter(random.choice([random.randint(1, 60), random.randint(100, 500)]) for _ in range(20000))
