@@ -396,11 +396,15 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = signed.where("chunk is null").select("doc_id", "d1", "d2", "n", "data", "long")
     filled = own.where("n > 0 and doc_id is not null")
     classes = saved(filled.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "data", "long")).alias("x")).select("d1", "d2", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.data").alias("data"), F.col("x.long").alias("long")))
-    class_of = filled.select("doc_id", "d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep")
-    # copies of a class mostly stay out; those that the filter lets through link with it as any equal sets do
+    class_of = saved(filled.select("doc_id", "d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep"))
+    # copies of a class mostly stay out; what those that the filter lets through put out is their class's, once
     own_set = IdFilter(classes.select(F.col("rep").alias("doc_id")))
     shared = saved(entries(own_set.part(rows, "doc_id", True), counts, size, percent))
-    reps = own_set.part(filled, "doc_id", True).select(F.col("doc_id").alias("rep"), "n", "data", "long").dropDuplicates(["rep"])
+    slipped = saved(own_set.part(class_of, "doc_id", True).groupBy("doc_id").agg(F.max("rep").alias("of")).where("of < doc_id"))
+    if not slipped.isEmpty():
+        named = shared.join(slipped, F.col("rep") == F.col("doc_id"), "left").withColumn("rep", F.coalesce("of", "rep"))
+        shared = saved(named.select("token", "rep", "level", "matches", "k").dropDuplicates(["token", "rep"]))
+    reps = classes.select("rep", "n", "data", "long").dropDuplicates(["rep"])
     blocks = F.ceil(F.col("k") / block)
     split = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks"))
 
@@ -431,7 +435,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         merged = first.join(second, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
         alone = second.select(F.col("comp").alias("id"), F.col("top").alias("comp")).join(first.select("id"), "id", "left_anti")
         final = saved(merged.unionByName(alone))
-    # a class has its smallest id's label; a copy that slipped through links with that id and so has the same
+    # a class has its smallest id's label
     member = class_of.join(final, class_of["rep"] == final["id"], "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("component_id"))
     return own.join(member, "doc_id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -285,6 +285,23 @@ def test_jaccard_equals_brute_force(spark, block, size, percent):
     assert got == brute_components(rows, percent, size)
 
 
+def test_jaccard_with_copies_that_pass_the_id_filter(spark):
+    random.seed(11)
+    base = [[str(random.randint(0, 400)) for _ in range(60)] for _ in range(4)]
+    rows = []
+    for i in range(60):
+        w = list(random.choice(base))
+        for _ in range(random.randint(0, 4)):
+            w[random.randrange(60)] = str(random.randint(0, 5000))
+        # 1009 is the filter's prime for so few classes; copies come before the smallest id, in one task and in several
+        rows += [(i + 1009 * k, " ".join(w)) for k in (random.randint(10**6, 10**12), random.randint(1, 1000), 0)]
+    expected = brute_components(rows)
+    assert len({c for _, c in expected.values()}) < 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for dealt in (df.coalesce(1), df.repartition(7)):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(dealt).collect()} == expected
+
+
 def test_bitmaps_never_exclude_a_link():
     random.seed(6)
     for _ in range(300):
