@@ -351,7 +351,7 @@ def best_version(spark, d):
 
 @query(None)
 def fuzzy_title_pairs(spark, d):
-    titles = documents(spark, d).select("doc_id", F.substring(tx.normalized_title(F.col("title")), 1, 200).alias("title"))
+    titles = documents(spark, d).select("doc_id", tx.normalized_title(F.col("title")).alias("title"))
     return catalog.fuzzy_pairs(titles)
 
 

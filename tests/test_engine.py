@@ -81,6 +81,16 @@ def test_fuzzy_pairs_match_difflib(spark):
     assert got == want
 
 
+def test_fuzzy_title_pairs_compare_whole_titles(spark, tmp_path):
+    # pairs of rare characters, as difflib skips frequent ones in titles of 200 and more
+    head = "".join(chr(0x4E00 + k) for k in range(210))
+    titles = [head, head + "x", head + "".join(chr(0x6E00 + k) for k in range(150)), head[:-1] + "y"]
+    spark.createDataFrame(list(enumerate(titles)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["a"], r["b"], r["ratio"]) for r in registry.QUERIES["fuzzy_title_pairs"](spark, str(tmp_path)).collect()}
+    ratio = lambda i, j: round(difflib.SequenceMatcher(None, titles[i], titles[j]).ratio(), 6)
+    assert got == {(i, j, ratio(i, j)) for i in range(4) for j in range(i + 1, 4) if ratio(i, j) >= 0.9} and len(got) == 3
+
+
 def test_bm25_with_repeated_and_missing_terms(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "b c c"), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in search.bm25(df, "c zz c").collect()}
