@@ -4,7 +4,7 @@ Base detection finds e-mail addresses, IPv4 addresses, card and phone numbers as
 text with transducers that keep, for each character they put out, the span of source characters it came from: look-
 alike characters and full-width forms become ASCII, invisible characters vanish, runs of spelled digits become digits,
 and at/dot disguises become "@" and ".". Detection runs on the rewritten text and its spans are mapped back. A mapped
-span is added unless it overlaps a base span of its kind.
+span is added unless it lies within a base span of its kind; one that reaches beyond a base span covers it.
 
 Nulls: a null text counts as empty, a null id is kept; empty texts have no spans. Offsets are code points, ends
 exclusive. Repeated rows give repeated rows.
@@ -220,7 +220,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
             held = list(base[kind])
             for a, b in detect(m.text)[kind]:
                 s, e = m.source(a, b)
-                if not any(x < e and s < y for x, y in held):
+                if not any(x <= s and e <= y for x, y in held):
                     held.append((s, e))
                     added.append((s, k, e))
     return sorted((s, k, e) for k, kind in enumerate(KINDS) for s, e in base[kind]), sorted(added)

@@ -238,6 +238,14 @@ def test_pii_spans():
         assert pii.find(t)[1] == []
 
 
+@pytest.mark.parametrize("t", ["jоhn@example.com", "john@example.cоm", "10.0.0.1０", "4111 1111 1111 11１1", "+1 415 555 267１"])
+def test_pii_spans_reach_beyond_a_shorter_base_span(t):
+    base, added = pii.find(f"to {t} now")
+    assert [(s, e) for s, _, e in added] == [(3, 3 + len(t))]
+    (k,) = {k for _, k, _ in base + added}
+    assert pii.redacted(f"to {t} now", sorted(base + added)) == f"to <{pii.KINDS[k]}> now"
+
+
 def test_pii_takes_time_in_proportion_to_long_runs():
     n = 400_000
     for t in ("1" * n, "0" * n + ".1.2.3", " " * n + "(at)", "x (at) " + " " * n, "а" + "a" * n + " at b", "1 " * (n // 2)):
