@@ -106,7 +106,7 @@ _SPACED_HERE = re.compile(r"(?i)([a-z0-9._%+-]++)(\s+at\s+|\s*@\s*)([a-z0-9-]+(?
 _SPACED = re.compile("(?i)(?<![a-z0-9._%+-])" + _SPACED_HERE.pattern[4:])
 _SPACED_DOT = re.compile(r"(?i)(?<!\s)\s++(?:dot|punkt|punto|point)\s+")
 #: Texts without any of these cannot be disguised in a way the transducers undo.
-_ODD = re.compile("[^\\x00-\\x7f\\xa1-\\xb6\\xb8-\\u0130\\u0132-\\u017f]")
+_ODD = re.compile("[^\\x00-\\x7f\\xa1-\\xac\\xae-\\xb6\\xb8-\\u0130\\u0132-\\u017f]")
 _HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|point|punkt|punto)\s*[\])}>]|\s(?:dot|punkt|punto|point)\s|\s@|@\s")
 
 

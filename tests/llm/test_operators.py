@@ -246,6 +246,15 @@ def test_pii_spans_reach_beyond_a_shorter_base_span(t):
     assert pii.redacted(f"to {t} now", sorted(base + added)) == f"to <{pii.KINDS[k]}> now"
 
 
+def test_pii_undoes_each_listed_character():
+    for c in sorted(pii.INVISIBLE):
+        for t in (f"john@exam{c}ple.com", f"10.0.{c}0.1", f"4111{c}1111{c}1111{c}1111"):
+            assert [(s, e) for s, _, e in pii.find(t)[1]] == [(0, len(t))], (hex(ord(c)), t)
+    for c, plain in pii.LOOKALIKES.items():
+        t = {".": f"10{c}0.0.1", "-": f"4111{c}1111-1111-1111", " ": f"4111{c}1111 1111 1111"}.get(plain, f"jo{c}hn@example.com")
+        assert [(s, e) for s, _, e in pii.find(t)[1]] == [(0, len(t))], (hex(ord(c)), t)
+
+
 def test_pii_takes_time_in_proportion_to_long_runs():
     n = 400_000
     for t in ("1" * n, "0" * n + ".1.2.3", " " * n + "(at)", "x (at) " + " " * n, "а" + "a" * n + " at b", "1 " * (n // 2)):
