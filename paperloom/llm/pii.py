@@ -3,7 +3,9 @@
 Base detection finds e-mail addresses, IPv4 addresses, card and phone numbers as written. The method then rewrites a
 text with transducers that keep, for each character they put out, the span of source characters it came from: look-
 alike characters and full-width forms become ASCII, invisible characters vanish, runs of spelled digits become digits,
-and at/dot disguises become "@" and ".". Detection runs on the rewritten text and its spans are mapped back. A mapped
+and at/dot disguises become "@" and ".": bracketed ones, spaced at signs, spoken dots between digits, and a spoken at
+before a domain with a spoken dot, or with written dots if what stands before it looks like a login (letters with an
+inner dot, underscore or plus, or three letters and digits) or follows a word such as "mail". Detection runs on the rewritten text and its spans are mapped back. A mapped
 span is added unless it lies within a base span of its kind; one that reaches beyond a base span covers it.
 
 Nulls: a null text counts as empty, a null id is kept; empty texts have no spans. Offsets are code points, ends
@@ -105,15 +107,22 @@ _BRACKET_DOT = re.compile(r"(?i)(?:(?<!\s)\s++)?[\[({<]\s*(?:dot|\.|point|punkt|
 _SPACED_HERE = re.compile(r"(?i)([a-z0-9._%+-]++)(\s+at\s+|\s*@\s*)([a-z0-9-]+(?:(?:\s+(?:dot|punkt|punto|point)\s+|\.)[a-z0-9-]+)+)")
 _SPACED = re.compile("(?i)(?<![a-z0-9._%+-])" + _SPACED_HERE.pattern[4:])
 _SPACED_DOT = re.compile(r"(?i)(?<!\s)\s++(?:dot|punkt|punto|point)\s+")
+_DIGIT_DOT = re.compile(r"(?i)(?<=[0-9])\s++(?:dot|punkt|punto|point)\s++(?=[0-9])")
+# other words before a spoken at and a written domain are mostly prose, as in "available at example.com"
+_LOGIN = re.compile(r"(?i)(?=.*[a-z])[a-z0-9%-]+(?:[._+][a-z0-9%-]+)+|[a-z]{3,}[0-9]+")
+_CUE = re.compile(r"(?i)(?<![^\W_])(?:e-?mails?|mail|mailto|contact|correo|courriel|kontakt|contacto|adresse|address)(?:\s+(?:me|us|is|to))?[\s:]{1,3}\Z")
+_DOMAIN = re.compile(r"(?i)(?!www\.)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}")
+_TOKENS = re.compile(r"[^\W_]+")
 #: Texts without any of these cannot be disguised in a way the transducers undo.
 _ODD = re.compile("[^\\x00-\\x7f\\xa1-\\xac\\xae-\\xb6\\xb8-\\u0130\\u0132-\\u017f]")
-_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|point|punkt|punto)\s*[\])}>]|\s(?:dot|punkt|punto|point)\s|\s@|@\s")
+_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|ät|dot|\.|point|punkt|punto)\s*[\])}>]|\s(?:dot|punkt|punto|point)\s|\s@|@\s|\sat\s+[a-z0-9-]+\.[a-z0-9]")
 
 
 def may_spell(t: str) -> bool:
-    """Whether two spelled digits stand near each other at all; looking for runs in every text would be slow."""
-    at = [i for i, w in enumerate(t.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()) if w in DIGIT_OF]
-    return any(b - a <= 3 for a, b in zip(at, at[1:]))
+    """Whether two spelled digits stand with only digits and dots between them; looking for runs in every text would be slow."""
+    words = _TOKENS.findall(t.lower())
+    at = [i for i, w in enumerate(words) if w in DIGIT_OF]
+    return any(all(w.isdigit() or w in _DOT_WORD for w in words[a + 1 : b]) for a, b in zip(at, at[1:]))
 
 
 class Mapped:
@@ -181,12 +190,18 @@ def _spaced(t: str):
         at = m.end()
 
 
+def _spoken_at(t: str, x: re.Match) -> bool:
+    """Whether the at before a domain with written dots is a disguise."""
+    return bool(_DOMAIN.fullmatch(x[3]) and (_LOGIN.fullmatch(x[1]) or _CUE.search(t, max(0, x.start() - 40), x.start())))
+
+
 def fold_at_and_dot(m: Mapped) -> None:
+    m.replace([(x.start(), x.end(), ".") for x in _DIGIT_DOT.finditer(m.text)])
     m.replace([(x.start(), x.end(), "@") for x in _BRACKET_AT.finditer(m.text)])
     m.replace([(x.start(), x.end(), ".") for x in _BRACKET_DOT.finditer(m.text)])
     edits = []
     for x in _spaced(m.text):
-        if x.group(2).strip() == "@" or _SPACED_DOT.search(x[3]):
+        if x.group(2).strip() == "@" or _SPACED_DOT.search(x[3]) or _spoken_at(m.text, x):
             edits.append((x.start(2), x.end(2), "@"))
             edits += [(x.start(3) + d.start(), x.start(3) + d.end(), ".") for d in _SPACED_DOT.finditer(x[3])]
     m.replace(edits)

@@ -255,6 +255,15 @@ def test_pii_undoes_each_listed_character():
         assert [(s, e) for s, _, e in pii.find(t)[1]] == [(0, len(t))], (hex(ord(c)), t)
 
 
+def test_pii_undoes_plain_spoken_forms():
+    for t in ("192 dot 168 dot 0 dot 1", "192.168 punkt 0 punkt 1", "john.smith at example.com", "jdoe42 at mail.example.org", "plus four 7 7 0 0 1 2 3 4 nine", "four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 one"):
+        assert [(s, e) for s, _, e in pii.find(f"so ({t}) it is")[1]] == [(4, 4 + len(t))], t
+    t = "please mail john at example.com"
+    assert [(s, e) for s, _, e in pii.find(t)[1]] == [(12, len(t))]
+    for t in ("available at example.com", "john.smith at www.example.com", "version 2.0 at example.com", "rated 3 dot 5 of 7 dot 5", "e.g. at example.com", "look at end.Then go"):
+        assert pii.find(t)[1] == [], t
+
+
 def test_pii_takes_time_in_proportion_to_long_runs():
     n = 400_000
     for t in ("1" * n, "0" * n + ".1.2.3", " " * n + "(at)", "x (at) " + " " * n, "а" + "a" * n + " at b", "1 " * (n // 2)):
