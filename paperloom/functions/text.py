@@ -6,22 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as Python's str.split() has it; Java's and RE2's ``\s`` are ASCII and differ from each other.
+WS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+NOT_WS = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
+#: What may not stand beside a whole word; ``\b`` has a different meaning in each version of Java.
+WORD = r"[\p{L}\p{M}\p{N}\p{Pc}]"
+BEFORE_WORD, AFTER_WORD = f"(?<!{WORD})", f"(?!{WORD})"
+
+
 def nonempty(c: Column) -> Column:
     return F.when(c != "", c)
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end; trim() takes spaces only."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
 def tokens(c: Column) -> Column:
     """Lower-cased words between white space; no stop words, no stemming."""
-    return F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(c), WS + "+"), lambda x: x != "")
 
 
 def normalized_title(c: Column) -> Column:
-    words = F.split(F.regexp_replace(F.lower(c), r"[!-/:-@\[-`{-~]", " "), r"\s+")
+    words = F.split(F.regexp_replace(F.lower(c), r"[!-/:-@\[-`{-~]", " "), WS + "+")
     return F.array_join(F.filter(words, lambda x: ~x.isin("", "a", "an", "the")), " ")
 
 
@@ -36,7 +44,7 @@ def item_key(path: Column) -> Column:
 def citation_key(authors: Column, year: Column) -> Column:
     """Last name of the first author, letters and digits only, and the year; null without both."""
     first = F.get(authors, 0)
-    last = F.when(F.contains(first, F.lit(",")), F.split_part(first, F.lit(","), F.lit(1))).otherwise(F.element_at(F.split(strip(first), r"\s+"), -1))
+    last = F.when(F.contains(first, F.lit(",")), F.split_part(first, F.lit(","), F.lit(1))).otherwise(F.element_at(F.split(strip(first), WS + "+"), -1))
     return F.concat(F.regexp_replace(last, r"[^\p{L}\p{N}]", ""), year.cast("string"))
 
 
@@ -61,7 +69,7 @@ def chunk_estimate(c: Column, size: int = 1024, overlap: int = 100) -> Column:
 
 
 def clean(c: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"[*_`]", ""))
+    return strip(F.regexp_replace(F.regexp_replace(c, WS + "+", " "), r"[*_`]", ""))
 
 
 def valid_year(c: Column) -> Column:
@@ -71,12 +79,13 @@ def valid_year(c: Column) -> Column:
 
 def first_year(c: Column) -> Column:
     """The first year from 1950 to 2050 in the first 1000 characters."""
-    found = F.transform(F.regexp_extract_all(F.substring(c, 1, 1000), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1)), lambda x: x.cast("int"))
+    found = F.transform(F.regexp_extract_all(F.substring(c, 1, 1000), F.lit(BEFORE_WORD + r"((?:19|20)[0-9]{2})" + AFTER_WORD), F.lit(1)), lambda x: x.cast("int"))
     return F.get(F.filter(found, lambda y: y.between(1950, 2050)), 0)
 
 
 def filename_year(c: Column) -> Column:
-    return valid_year(nonempty(F.regexp_extract(c, r"(\d{4})", 1)))
+    """The first four digits of a path's last part."""
+    return valid_year(nonempty(F.regexp_extract(F.substring_index(c, "/", -1), r"([0-9]{4})", 1)))
 
 
 def pdf_date_year(c: Column) -> Column:
@@ -89,12 +98,12 @@ def valid_doi(c: Column) -> Column:
 
 def doi(c: Column) -> Column:
     head = F.substring(c, 1, 2000)
-    found = [F.regexp_extract(head, p, 1) for p in (r"(?i)doi:\s*(10\.\d{4,}/\S+)", r"(?i)doi\.org/(10\.\d{4,}/\S+)", r"\b(10\.\d{4,}/\S+)")]
+    found = [F.regexp_extract(head, p, 1) for p in (rf"(?i)doi:{WS}*(10\.[0-9]{{4,}}/{NOT_WS}+)", rf"(?i)doi\.org/(10\.[0-9]{{4,}}/{NOT_WS}+)", rf"{BEFORE_WORD}(10\.[0-9]{{4,}}/{NOT_WS}+)")]
     return F.coalesce(*(valid_doi(nonempty(F.regexp_replace(x, r"[.,;)\]\n]+$", ""))) for x in found))
 
 
 def author_list(c: Column) -> Column:
-    parts = F.transform(F.split(c, r"[,;]\s*(?:and\s+)?"), lambda x: strip(F.replace(x, F.lit(" et al."), F.lit(""))))
+    parts = F.transform(F.split(c, rf"[,;]{WS}*(?:and{WS}+)?"), lambda x: strip(F.replace(x, F.lit(" et al."), F.lit(""))))
     return F.filter(parts, lambda x: x != "")
 
 
@@ -132,6 +141,9 @@ def tags(c: Column, dictionary: dict[str, list[str]]) -> Column:
 
 
 def instruments(c: Column, patterns: dict[str, str]) -> Column:
+    """Names whose pattern occurs, in the dictionary's order; patterns are case-sensitive, ``\\b`` bounds whole words."""
+    bound = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
+    patterns = {name: p.replace(r"\b", bound) for name, p in patterns.items()}
     return F.array_compact(F.array(*(F.when(c.rlike(p), F.lit(name)) for name, p in patterns.items())))
 
 

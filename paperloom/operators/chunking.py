@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import nonempty, strip, tokens
+from ..functions.text import WS, nonempty, strip
 
-SECTIONS = "(?i)abstract|introduction|methods|results|discussion|conclusion|references"
+SECTIONS = "(?i)abstract|introduction|method|results|discussion|conclusion|references"
 
 
 def word_windows(docs: DataFrame, size: int = 100, overlap: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, chunk_id, chunk_index, has_overlap, text``: windows of words that share ``overlap`` words."""
-    words = F.filter(F.split(F.col(text_col), r"\s+"), lambda x: x != "")
+    words = F.filter(F.split(F.col(text_col), WS + "+"), lambda x: x != "")
     base = docs.select(F.col(id_col).alias("doc_id"), words.alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - overlap - 1, F.lit(0)), F.lit(size - overlap))
     rows = base.select("doc_id", "w", F.posexplode(starts).alias("chunk_index", "start"))
@@ -97,6 +97,3 @@ def sentences(docs: DataFrame, limit: int = 100, id_col: str = "doc_id", text_co
 
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(split(F.col(text_col))).alias("chunk_index", "text"))
 
-
-def token_totals(docs: DataFrame, text_col: str = "text"):
-    return docs.agg(F.sum(F.size(tokens(F.col(text_col)))).alias("n_tokens"))

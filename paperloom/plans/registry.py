@@ -42,7 +42,8 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("*", F.get(t, 0).alias("title"), F.substring("text", 61, 300).alias("abstract"))
 
 
-TOKENS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')"
+WS, NOT_WS = tx.WS, tx.NOT_WS
+TOKENS = f"list_filter(regexp_split_to_array(lower(text), '{WS}+'), lambda x: x <> '')"
 BM25 = f"""
 toks AS (SELECT doc_id, {TOKENS} AS t FROM documents),
 corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
@@ -258,20 +259,22 @@ def _projected(name, column, sql, table="documents", key="doc_id"):
     query(f"SELECT {key}, {sql} AS v FROM {table}" if sql else None)(f)
 
 
+#: Word ends for an engine without look-arounds.
+EDGE, EDGE_AFTER = r"(^|[^\p{L}\p{M}\p{N}\p{Pc}])", r"($|[^\p{L}\p{M}\p{N}\p{Pc}])"
 TITLE = "split_part(text, chr(10), 1)"
-NORM = f"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({TITLE}), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"
-STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+NORM = f"array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({TITLE}), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '{WS}+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"
+STRIPPED = f"regexp_replace(text, '^{WS}+|{WS}+$', '', 'g')"
 _projected("normalized_title", lambda: tx.normalized_title(F.col("title")), NORM)
 _projected("title_hash", lambda: tx.title_hash(tx.normalized_title(F.col("title"))), f"substr(sha256({NORM}), 1, 16)")
 _projected("item_key", lambda: tx.item_key(F.col("url")), "upper(substr(sha256(url), 1, 8))", "pages", "page_id")
 _projected("citation_key", lambda: tx.citation_key(F.array("c_name"), F.lit(1999)), "regexp_replace(list_last(string_split(c_name, ' ')), '[^A-Za-z0-9]', '', 'g') || '1999'", "customer", "c_custkey")
-_projected("extract_year", lambda: tx.filename_year(F.col("url")), "CASE WHEN TRY_CAST(regexp_extract(url, '([0-9]{4})', 1) AS INT) BETWEEN 1950 AND 2050 THEN TRY_CAST(regexp_extract(url, '([0-9]{4})', 1) AS INT) END", "pages", "page_id")
+_projected("extract_year", lambda: tx.filename_year(F.col("url")), "CASE WHEN TRY_CAST(regexp_extract(regexp_extract(url, '[^/]*$'), '([0-9]{4})', 1) AS INT) BETWEEN 1950 AND 2050 THEN TRY_CAST(regexp_extract(regexp_extract(url, '[^/]*$'), '([0-9]{4})', 1) AS INT) END", "pages", "page_id")
 _projected("truncate_prompt", lambda: tx.truncate(F.col("text"), 200), f"CASE WHEN length({STRIPPED}) <= 200 THEN {STRIPPED} ELSE regexp_replace(substr({STRIPPED}, 1, 200), ' [^ ]*$', '') || '...' END")
 _projected("token_count", lambda: tx.token_count(F.col("text")), f"floor(len({TOKENS}) * 1.3e0)::INT")
 _projected("chunk_estimate", lambda: tx.chunk_estimate(F.col("text")), "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor(length(text) / 4e0 / 924)::INT + 1) END")
-_projected("clean_text", lambda: tx.clean(F.col("text")), "regexp_replace(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[*_`]', '', 'g'), '^\\s+|\\s+$', '', 'g')")
+_projected("clean_text", lambda: tx.clean(F.col("text")), f"regexp_replace(regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '[*_`]', '', 'g'), '^{WS}+|{WS}+$', '', 'g')")
 _projected("tags", lambda: F.array_join(tx.tags(F.col("text"), TAGS), ","), "array_to_string(list_filter([CASE WHEN contains(lower(text), 'rouge') OR contains(lower(text), 'blau') THEN 'colour' END, CASE WHEN contains(lower(text), 'ther') OR contains(lower(text), 'energy') THEN 'energy' END, CASE WHEN contains(lower(text), 'tion') THEN 'motion' END], lambda x: x IS NOT NULL), ',')")
-_projected("instruments", lambda: F.array_join(tx.instruments(F.col("text"), INSTRUMENTS), ","), "array_to_string(list_filter([CASE WHEN regexp_matches(text, '\\bThe\\b') THEN 'alpha' END, CASE WHEN regexp_matches(text, '\\b[A-Z]nd\\b') THEN 'beta' END], lambda x: x IS NOT NULL), ',')")
+_projected("instruments", lambda: F.array_join(tx.instruments(F.col("text"), INSTRUMENTS), ","), f"array_to_string(list_filter([CASE WHEN regexp_matches(text, '{EDGE}The{EDGE_AFTER}') THEN 'alpha' END, CASE WHEN regexp_matches(text, '{EDGE}[A-Z]nd{EDGE_AFTER}') THEN 'beta' END], lambda x: x IS NOT NULL), ',')")
 _projected("extract_authors", lambda: F.array_join(tx.author_list(F.col("title")), "|"), None)
 _projected("extract_title", lambda: tx.pdf_title(F.col("text")), None)
 _projected("extract_doi", lambda: tx.doi(F.concat(F.lit("doi: 10.1234/x"), F.col("doc_id").cast("string"), F.lit("."))), "'10.1234/x' || doc_id")
@@ -284,9 +287,9 @@ def metadata_projection(spark, d):
     return documents(spark, d).select("doc_id", F.coalesce(tx.nonempty(F.col("title")), F.lit("Unknown")).alias("title"), F.coalesce("source", F.lit("Unknown")).alias("authors"), F.lit("Unknown").alias("year"), F.coalesce("lang", F.lit("")).alias("language"), F.when(F.col("n_chars") > 1000, "True").otherwise("False").alias("has_fulltext"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 11, 0) + 1, 90)) AS start FROM w WHERE len(w) > 0)
-SELECT doc_id, format('{}_{:03d}', doc_id, start // 90) AS chunk_id, (start // 90)::INT AS chunk_index, start > 0 AS has_overlap, array_to_string(w[start + 1 : start + 100], ' ') AS text FROM s""")
+SELECT doc_id, format('{{}}_{{:03d}}', doc_id, start // 90) AS chunk_id, (start // 90)::INT AS chunk_index, start > 0 AS has_overlap, array_to_string(w[start + 1 : start + 100], ' ') AS text FROM s""")
 def word_window_chunks(spark, d):
     return chunking.word_windows(read(spark, d, "documents"))
 
@@ -296,9 +299,9 @@ def section_chunks(spark, d):
     return chunking.sections(read(spark, d, "documents"), separator="\n")
 
 
-@query("SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))::INT AS n FROM documents")
+@query(f"SELECT doc_id, len(string_split(regexp_replace(text, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)))::INT AS n FROM documents")
 def sentence_split(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.size(F.split("text", r"(?<=[.!?])\s+")).alias("n"))
+    return read(spark, d, "documents").select("doc_id", F.size(F.split("text", f"(?<=[.!?]){WS}+")).alias("n"))
 
 
 @query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS n FROM documents")
@@ -328,9 +331,9 @@ def hash_embedding(spark, d):
     return search.hash_embedding(read(spark, d, "documents"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'multimodal' ELSE 'text' END AS route FROM conversations WHERE regexp_matches(text, '\\S')")
+@query(f"SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'multimodal' ELSE 'text' END AS route FROM conversations WHERE regexp_matches(text, '{NOT_WS}')")
 def embed_routing(spark, d):
-    return read(spark, d, "conversations").where(F.col("text").rlike(r"\S")).select("conv_id", "turn", F.when(F.col("role") == "user", "multimodal").otherwise("text").alias("route"))
+    return read(spark, d, "conversations").where(F.col("text").rlike(NOT_WS)).select("conv_id", "turn", F.when(F.col("role") == "user", "multimodal").otherwise("text").alias("route"))
 
 
 @query("SELECT sha256(text) AS key, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")

@@ -12,6 +12,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import NOT_WS
+
 
 class Store:
     """The collections below one shared folder."""
@@ -63,7 +65,7 @@ class Collection:
         return newest.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
     def searchable(self, text_col: str = "text") -> DataFrame:
-        return self.read().where(F.col(text_col).rlike(r"\S"))
+        return self.read().where(F.col(text_col).rlike(NOT_WS))
 
     def lookup(self, value) -> DataFrame:
         """The row of one id; the filter reaches the Parquet scan."""

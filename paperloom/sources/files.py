@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import NOT_WS
+
 BINARY = "path string, modificationTime timestamp, length long, content binary"
 #: Characters that a page must have more of to count as text, and pages looked at.
 PAGE_CHARS, PAGES = 100, 5
@@ -59,7 +61,7 @@ def join_pages(pages: Column, ocr: Column | None = None) -> Column:
     if ocr is not None:
         short = is_scanned(pages)
         pages = F.zip_with(pages, ocr, lambda p, o: F.when(short & (F.coalesce(F.length(F.trim(p)), F.lit(0)) < PAGE_CHARS), o).otherwise(p))
-    return F.array_join(F.filter(pages, lambda p: p.rlike(r"\S")), "\n\n")
+    return F.array_join(F.filter(pages, lambda p: p.rlike(NOT_WS)), "\n\n")
 
 
 def page_images(images: DataFrame, per_page: int = 5, least: int = 100) -> DataFrame:
