@@ -1,20 +1,26 @@
 """Toxicity by compression distance: two zstandard dictionaries and the lengths to which they compress a text's windows.
 
-One dictionary is trained on ordinary text, the other also on words of toxic text that ordinary text lacks. Each
-window, a word written ``REPEAT`` times so that short words outweigh the fixed cost of a compressed block, is
-compressed with either; it is toxic-like by the bytes that the toxic dictionary saves. A document's largest saving,
-its three largest, its mean saving and its share of large ones go through a logistic fit, made on labelled documents
-that the dictionaries were not trained on. The fit uses a bounded sample (``SAMPLE`` documents a class, the
-first by hash of their ids); every document is scored by its whole text.
+Windows are overlapping runs of ``WINDOW`` consecutive lower-cased words. The ordinary dictionary is trained on the
+windows of ordinary texts; its most recurring content stands once more at its end, where references are cheapest. The
+toxic dictionary holds the same and, between the two, content trained on windows of toxic texts. A window's saving is
+how many bytes shorter the toxic dictionary makes it. Toxic texts consist mostly of ordinary words, so the toxic
+content is purified: it is trained again, ``ROUNDS`` times, on those windows of the other half of the toxic texts that
+the last content saves most on. What recurs in toxic text and not in ordinary text is then what remains.
+
+A document's largest savings, mean saving, numbers and shares of large savings and length go through a logistic fit,
+made on labelled documents that the dictionaries were not trained on. The threshold is calibrated on the ordinary ones
+among them: a score of 0.5 is what ``FALSE_ALARMS`` of them reach. The fit uses a bounded sample: ``SAMPLE`` documents a class, the first by hash of their ids, of those at
+most ``SAMPLE_BYTES`` long. Every document is scored by its whole text.
 
 Nulls: a null text counts as empty; a null id is scored but never labelled. If a label is given twice the larger
-counts. Without labelled rows of both classes all scores are 0.5.
+counts; if an id has several texts the first in order is learnt from. Without labelled rows of both classes all scores
+are 0.5.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,19 +29,30 @@ from pyspark.sql import functions as F
 
 from .common import held_out_col, map_rows, texts
 
-REPEAT = 3
-SAMPLE = 4000
-SEARCH = {"window_log": 14, "hash_log": 14, "chain_log": 13, "search_log": 6, "min_match": 4, "target_length": 48}
-BASE_BYTES = 4096
-GROUP_BYTES = 384
-GROUPS = 32
-MIN_LOG_ODDS = 3.0
-MIN_SHARE = 0.03
-#: Savings kept by a worker, by window.
-CACHE = 400_000
+#: Words of a window, and words from one window's start to the next one's.
+WINDOW, STEP = 6, 3
+SAMPLE = 2000
+SAMPLE_BYTES = 1 << 17
+# matches of six bytes and more: shorter ones are syllables that all texts share
+STRATEGY = "STRATEGY_BTLAZY2"
+SEARCH = {"window_log": 21, "hash_log": 19, "chain_log": 20, "search_log": 4, "min_match": 6, "target_length": 48}
+#: Bytes of the ordinary dictionary, of its repeated end, and of the toxic content of each half of the toxic texts.
+BASE_BYTES, NEAR_BYTES, GUARD_BYTES, TOXIC_BYTES = 1 << 19, 8192, 32768, 4096
+ROUNDS = 8
+#: Share of the toxic windows, those with the largest savings, that the next round is trained on.
+SHARE = 0.08
+#: Length of the pieces that training on toxic windows chooses.
+PIECES = {"k": 24, "d": 6}
+#: Share of ordinary texts that the calibrated threshold, a score of 0.5, lets through.
+FALSE_ALARMS = 0.005
+#: Bytes from which a saving counts.
+LARGE = (3, 4, 5)
+#: Windows compressed in one call.
+CALL = 1 << 16
+#: Stands after each window and ends both dictionaries, so that every block is a compressed one and has paid its fixed
+#: cost; else a window with a single match would be stored as it is and save nothing.
+CARRIER = b" == window of words ==\n"
 THRESHOLD = 0.5
-#: Bytes from which a saving counts as large.
-LARGE = 3
 #: What ends a zstandard dictionary's header: the three default repeat offsets, 1, 4 and 8.
 HEADER_END = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
@@ -44,73 +61,87 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def window(word: bytes) -> bytes:
-    return (b" " + word + b" ") * REPEAT
+def windows(text: str | None, step: int = STEP) -> list[bytes]:
+    """A text's windows; the last may be shorter, and a text without words has none."""
+    w = words_of(text)
+    return [b" ".join(w[i : i + WINDOW]) for i in range(0, max(1, len(w) - WINDOW + step), step)] if w else []
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
+def trained(samples: list[bytes], size: int, **how) -> bytes:
     """The content that zstandard's dictionary training chooses; the samples' own end where they are too few."""
     import zstandard
 
     try:
-        found = zstandard.train_dictionary(size, samples).as_bytes()
+        found = zstandard.train_dictionary(size, samples, **how).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+        return b" ".join(samples)[-size:]
     return found[found.index(HEADER_END) + len(HEADER_END) :]
 
 
+def compressor(*contents: bytes):
+    import zstandard
+
+    # the same search for both; by level alone it would depend on the dictionary's size
+    how = zstandard.ZstdCompressionParameters(strategy=getattr(zstandard, STRATEGY), write_content_size=False, write_dict_id=False, write_checksum=False, **SEARCH)
+    d = zstandard.ZstdCompressionDict(b"".join(contents) + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(compression_params=how, dict_data=d)
+
+
+def lengths(c, found: list[bytes]) -> np.ndarray:
+    """Compressed length of each window, its carrier included."""
+    out = []
+    for at in range(0, len(found), CALL):
+        packed = c.multi_compress_to_buffer([b" " + w + CARRIER for w in found[at : at + CALL]])
+        out += [len(packed[i]) for i in range(len(packed))]
+    return np.array(out, np.int64)
+
+
+def features(savings: np.ndarray) -> list[float]:
+    """A document's features from its windows' savings."""
+    n = len(savings)
+    if not n:
+        return [0.0] * 8
+    best = np.sort(savings)[::-1][:3]
+    many = [int((savings >= x).sum()) for x in LARGE]
+    return [best[0] / 4, best.sum() / 12, 4 * savings.sum() / (n + 8), 8 * many[0] / (n + 8), 8 * many[2] / (n + 8), math.log(n) / 4, math.sqrt(many[1]) / 2, math.sqrt(many[2]) / 2]
+
+
 @dataclass
 class Model:
-    ordinary: bytes
+    base: bytes
     toxic: bytes
+    near: bytes
     weights: np.ndarray
 
     def __post_init__(self):
-        self._pair, self._savings = None, {}
+        self._pair = None
 
     def __getstate__(self):
-        return self.ordinary, self.toxic, self.weights
+        return self.base, self.toxic, self.near, self.weights
 
     def __setstate__(self, state):
-        self.ordinary, self.toxic, self.weights = state
-        self.__post_init__()
-
-    def compressors(self):
-        import zstandard
+        self.base, self.toxic, self.near, self.weights = state
+        self._pair = None
 
+    def savings(self, found: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each window."""
         if self._pair is None:
-            # the same search for both; by level alone it would depend on the dictionary's size
-            how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_dict_id=False, write_checksum=False, **SEARCH)
-            pair = []
-            for content in (self.ordinary, self.toxic + self.ordinary):
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(compression_params=how)
-                pair.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
-            self._pair = pair
-        return self._pair
-
-    def savings(self, words: list[bytes]) -> list[int]:
-        """Bytes that the toxic dictionary saves on each word's window."""
-        known = self._savings
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(words))
-        if new:
-            plain, toxic = (c.multi_compress_to_buffer([window(w) for w in new]) for c in self.compressors())
-            known.update((w, len(plain[i]) - len(toxic[i])) for i, w in enumerate(new))
-        return list(map(known.__getitem__, words))
-
-    def features(self, text: str | None) -> list[float]:
-        saved = sorted(self.savings(words_of(text)), reverse=True)
-        n = len(saved)
-        return [saved[0] / 4, sum(saved[:3]) / 12, 4 * sum(saved) / (n + 8), 8 * sum(s >= LARGE for s in saved) / (n + 8)] if n else [0.0] * 4
-
-    def score(self, text: str | None) -> float:
+            self._pair = [compressor(self.base, self.near), compressor(self.base, self.toxic, self.near)]
+        plain, toxic = (lengths(c, found) for c in self._pair)
+        return plain - toxic
+
+    def all_features(self, found: Iterable[str | None]) -> np.ndarray:
+        of_text = [windows(t) for t in found]
+        saved = self.savings([w for x in of_text for w in x])
+        ends = np.cumsum([0, *map(len, of_text)])
+        return np.array([features(saved[a:b]) for a, b in zip(ends, ends[1:])]).reshape(-1, 8)
+
+    def scores(self, found: list[str | None]) -> np.ndarray:
         if not len(self.weights):
-            return 0.5
-        z = self.weights[0] + float(np.dot(self.weights[1:], self.features(text)))
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+            return np.full(len(found), 0.5)
+        z = self.weights[0] + self.all_features(found) @ self.weights[1:]
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -127,36 +158,53 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return w
 
 
+def distinct_windows(group: list[str]) -> list[bytes]:
+    """Windows side by side, each once, so that copies of a text count once."""
+    return list(dict.fromkeys(w for t in group for w in windows(t, WINDOW)))
+
+
+def contents(common: list[bytes], halves: list[list[bytes]]) -> tuple[bytes, bytes, bytes]:
+    """The ordinary dictionary's base, the toxic content, purified round by round, and the ordinary dictionary's end.
+
+    A round first trains the base also on the ordinary windows that still save by the toxic content, so that what both
+    classes share saves no more, then the toxic content anew on the windows of one half that it saves most on.
+    """
+    base, near = trained(common, BASE_BYTES), trained(common, NEAR_BYTES)
+    content = before = trained(halves[0], 4 * TOXIC_BYTES, **PIECES)
+    guards: dict[bytes, None] = {}
+    guard = b""
+    for r in range(1, ROUNDS + 1):
+        plain, toxic = compressor(base, guard, near), compressor(base, guard, content, near)
+        saved = lengths(plain, common) - lengths(toxic, common)
+        guards.update((common[i], None) for i in np.flatnonzero(saved >= LARGE[0]))
+        if guards:
+            guard = trained(list(guards), GUARD_BYTES)
+            plain, toxic = compressor(base, guard, near), compressor(base, guard, content, near)
+        pool = halves[r % 2]
+        saved = lengths(plain, pool) - lengths(toxic, pool)
+        top = np.sort(np.argsort(-saved, kind="stable")[: max(200, int(SHARE * len(pool)))])
+        chosen = [pool[i] for i in top if saved[i] >= LARGE[0]]
+        if not chosen:
+            break
+        before, content = content, trained(chosen, TOXIC_BYTES, **PIECES)
+    return base + guard, content if before is content else before[-TOXIC_BYTES:] + content, near
+
+
 def fit_texts(toxic: list[str], ordinary: list[str]) -> Model:
     """Train the dictionaries on every other text of each class and the logistic fit on the rest."""
     if len(toxic) < 4 or len(ordinary) < 4:
-        return Model(b"", b"", np.array([]))
-    # words count once for each pair of neighbours, so that copies of a document count once
-    seen = [Counter(), Counter()]
-    for c, group in enumerate((ordinary[::2], toxic[::2])):
-        found: set[tuple[bytes, bytes, bytes]] = set()
-        for t in group:
-            words = t.lower().encode().split()
-            found.update(zip([b"", *words], words, [*words[1:], b""]))
-        seen[c].update(w for _, w, _ in found)
-    n = len(ordinary[::2]), len(toxic[::2])
-    least = max(3, MIN_SHARE * n[1])
-    odds = {w: math.log((k + 0.5) / (n[1] + 1)) - math.log((seen[0][w] + 0.5) / (n[0] + 1)) for w, k in seen[1].items() if k >= least}
-    telling = sorted((w for w, s in odds.items() if s >= MIN_LOG_ODDS), key=lambda w: (-seen[1][w], w))
-    groups: dict[int, list[bytes]] = defaultdict(list)
-    for i, w in enumerate(telling):
-        # groups of words, each trained by itself, so that training keeps them all
-        groups[i % GROUPS] += [window(w)] * min(seen[1][w], 50)
-    base = trained([w for i, t in enumerate(ordinary[::2]) for w in map(window, words_of(t)[i % 7 :: 40])], BASE_BYTES)
-    model = Model(base, b"".join(trained(groups[g], GROUP_BYTES) for g in sorted(groups)), np.array([]))
-    x = np.array([model.features(t) for group in (ordinary[1::2], toxic[1::2]) for t in group])
-    y = np.array([0.0] * len(ordinary[1::2]) + [1.0] * len(toxic[1::2]))
-    model.weights = logistic(x, y)
+        return Model(b"", b"", b"", np.array([]))
+    model = Model(*contents(distinct_windows(ordinary[::2]), [distinct_windows(toxic[k::4]) for k in (0, 2)]), np.array([]))
+    rest = [model.all_features(g) for g in (ordinary[1::2], toxic[1::2])]
+    weights = logistic(np.vstack(rest), np.repeat([0.0, 1.0], [len(g) for g in rest]))
+    # the threshold is calibrated on ordinary texts, whatever the sample's share of toxic ones
+    weights[0] = -np.quantile(rest[0] @ weights[1:], 1 - FALSE_ALARMS)
+    model.weights = weights
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents a class, outside the held-out fold; the sample's size is the bound."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most ``sample`` labelled documents a class, of at most ``sample_bytes`` each, outside the held-out fold."""
     given = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out_col("doc_id"))
@@ -164,11 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     )
     order = F.xxhash64(F.lit(7), "doc_id")
     chosen = {r["doc_id"]: r["y"] for c in (0, 1) for r in given.where(F.col("y") == c).orderBy(order, "doc_id").limit(sample).collect()}
-    if not chosen:
-        return Model(b"", b"", np.array([]))
-    spark = docs.sparkSession
-    ids = spark.createDataFrame(list(chosen.items()), "doc_id long, y int")
-    rows = sorted((r["doc_id"], r["text"] or "") for r in texts(docs, id_col, text_col).join(F.broadcast(ids), "doc_id").collect())
+    if len(set(chosen.values())) < 2:
+        return Model(b"", b"", b"", np.array([]))
+    ids = docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, y int")
+    short = texts(docs, id_col, text_col).where(F.octet_length("text") <= sample_bytes).join(F.broadcast(ids), "doc_id")
+    rows = sorted((r["doc_id"], r["text"]) for r in short.groupBy("doc_id").agg(F.min("text").alias("text")).collect())
     return fit_texts([t for i, t in rows if chosen[i]], [t for i, t in rows if not chosen[i]])
 
 
@@ -177,7 +225,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     model = fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
 
     def rows(ids, found):
-        s = [model.score(t) for t in found]
-        return {"doc_id": ids, "score": s, "predicted": [int(x >= threshold) for x in s]}
+        s = model.scores(found)
+        return {"doc_id": ids, "score": s, "predicted": (s >= threshold).astype(np.int32)}
 
     return map_rows(texts(docs, id_col, text_col), rows, "doc_id long, score double, predicted int").select("doc_id", held_out_col("doc_id").alias("held_out"), "score", "predicted")
