@@ -12,7 +12,8 @@ word. Hashes that repeat within a batch are settled there and sent on once, so a
 does not load one task with a third of the rows. Hash ranges are sorted within a partition and handled one by one.
 
 Nulls: a null text has no words; rows with a null id keep their words and are not compared. Texts shorter than a window
-keep all words. A repeated row (same id, same text) counts as elsewhere, like any copy. Words are judged on the input.
+keep all words. A repeated row (same id, same text) counts as elsewhere, like any copy; texts under one id lose what
+repeats in any of them. Words are judged on the input.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, IdFilter, partitions, saved, texts, trimmed, window_hashes, word_hashes
+from .common import arrow_schema, dropped, IdFilter, map_whole, partitions, saved, texts, trimmed, unused, window_hashes, word_hashes
 
 WINDOW = 35
 #: A perfect difference set: every residue modulo 21 is a difference of two of its members.
@@ -75,11 +76,10 @@ class Dealer:
         sizes = np.diff(np.append(np.flatnonzero(first), len(h)))
         many = np.repeat(sizes > 1, sizes)
         rows = []
-        # one of each hash goes to its range: alone with its place, or only as a repeated hash, with document -1;
+        # one of each hash goes to its range: alone with its place, or only as a repeated hash, at place -1;
         # in the texts' order, in which documents and places compress well
-        fd = np.where(many[first], -1, d[first])
         back = np.argsort(order[first])
-        fh, fd, fp = h[first][back], fd[back], p[first][back]
+        fh, fd, fp = h[first][back], d[first][back], np.where(many[first], -1, p[first]).astype(np.int32)[back]
         route = (((fh["a"] if self.wide else fh) >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32)).astype(np.int64)
         by = np.argsort(route, kind="stable")
         fh, fd, fp, cuts = fh[by], fd[by], fp[by], np.searchsorted(route[by], np.arange(self.ranges + 1))
@@ -104,9 +104,9 @@ WIDE = np.dtype([("a", np.uint64), ("b", np.uint32)])
 BUCKETS = "bucket int, docs binary, places binary"
 
 
-def repeated_places(dealt: DataFrame, ranges: int, wide: bool) -> DataFrame:
+def repeated_places(dealt: DataFrame, n_parts: int, wide: bool) -> DataFrame:
     """``doc_id, places``: for each document, the places whose hash occurs twice or more, as one int32 blob."""
-    kind, n_parts = WIDE if wide else np.dtype(np.uint64), partitions(dealt.sparkSession)
+    kind = WIDE if wide else np.dtype(np.uint64)
 
     def settle(hashes: list[bytes], docs: list[bytes], places: list[bytes]):
         h, d, p = np.frombuffer(b"".join(hashes), kind), np.frombuffer(b"".join(docs), np.int64), np.frombuffer(b"".join(places), np.int32)
@@ -115,8 +115,8 @@ def repeated_places(dealt: DataFrame, ranges: int, wide: bool) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.append(starts, len(h)))
         # a hash that a batch has settled counts as repeated by itself
-        known = np.add.reduceat((d < 0).astype(np.int64), starts) > 0
-        keep = np.repeat((sizes > 1) | known, sizes) & (d >= 0)
+        known = np.add.reduceat((p < 0).astype(np.int64), starts) > 0
+        keep = np.repeat((sizes > 1) | known, sizes) & (p >= 0)
         return d[keep], p[keep]
 
     def run(batches):
@@ -182,7 +182,8 @@ def _covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
 
 
 def candidate_windows(n_words: int, anchors: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
-    """Starts of the windows that hold a repeated anchor."""
+    """Starts of the windows that hold a repeated anchor; anchors beyond the text are another text's of the same id."""
+    anchors = anchors[anchors <= n_words - anchor]
     edge = np.zeros(n_words + 2, np.int64)
     np.add.at(edge, np.maximum(anchors + anchor - window, 0), 1)
     np.add.at(edge, anchors + 1, -1)
@@ -196,7 +197,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, ranges: int | None =
     """
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
-    ranges = ranges or RANGES * partitions(docs.sparkSession)
+    n_parts = partitions(docs)
+    ranges = ranges or RANGES * n_parts
     anchor = window - PERIOD + 1
 
     def first_round(batches):
@@ -207,7 +209,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, ranges: int | None =
                 h, begins = word_hashes([(t or "").encode() for t in part.column(1).to_pylist()])
                 if len(h) < window:
                     continue
-                ids = np.array([-1 if d is None else d for d in part.column(0).to_pylist()], np.int64)
+                ids = part.column(0).fill_null(0).to_numpy()
                 n = np.diff(begins)
                 n = np.where(part.column(0).is_valid().to_numpy(zero_copy_only=False), n, 0)[np.repeat(np.arange(len(n)), n)]
                 doc = np.repeat(np.arange(len(ids)), np.diff(begins))
@@ -235,10 +237,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, ranges: int | None =
                     yield from dealer.deal()
         yield from dealer.deal()
 
-    anchors = saved(repeated_places(docs.mapInArrow(trimmed(first_round), DEALT), ranges, False))
+    anchors = saved(repeated_places(docs.mapInArrow(trimmed(first_round), DEALT), n_parts, False))
     held = IdFilter(anchors).part(docs, "doc_id", True)
     extended = held.join(anchors, "doc_id").select("doc_id", "text", "places").mapInArrow(trimmed(second_round), DEALT)
-    return saved(repeated_places(extended, ranges, True))
+    found = saved(repeated_places(extended, n_parts, True))
+    dropped(anchors)
+    return found
 
 
 def kept_words(text: str | None, blobs: bytes | None, window: int = WINDOW) -> tuple[int, list[bytes]]:
@@ -246,29 +250,43 @@ def kept_words(text: str | None, blobs: bytes | None, window: int = WINDOW) -> t
     words = words_of(text)
     if not blobs:
         return len(words), words
-    covered = _covered(len(words), np.unique(np.frombuffer(blobs, np.int32)), window)
+    places = np.unique(np.frombuffer(blobs, np.int32))
+    # another text of the same id may be longer
+    covered = _covered(len(words), places[places <= len(words) - window], window)
     return len(words), [w for w, c in zip(words, covered.tolist()) if not c]
 
 
-def with_places(docs: DataFrame, places: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` and, in ``_places``, their repeated windows; only rows that may have any take part in the join."""
+def with_places(docs: DataFrame, places: DataFrame, id_col: str = "doc_id", name: str = "_places") -> DataFrame:
+    """``docs`` and, in column ``name``, their repeated windows; only rows that may have any take part in the join."""
     some = IdFilter(places)
-    key = docs.withColumn("_at", F.col(id_col).cast("long"))
-    hit = some.part(key, "_at", True).join(places.select(F.col("doc_id").alias("_at"), F.col("places").alias("_places")), "_at", "left")
-    return hit.unionByName(some.part(key, "_at", False).withColumn("_places", F.lit(None).cast("binary"))).drop("_at")
+    (at,) = unused([*docs.columns, name], "_at")
+    key = docs.withColumn(at, F.col(id_col).cast("long"))
+    hit = some.part(key, at, True).join(places.select(F.col("doc_id").alias(at), F.col("places").alias(name)), at, "left")
+    return hit.unionByName(some.part(key, at, False).withColumn(name, F.lit(None).cast("binary"))).drop(at)
 
 
 def strip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` with the kept words, joined by one space, as text; a text that loses nothing stays as it is."""
-    marked = with_places(docs, repeated_windows(texts(docs, id_col, text_col), window), id_col)
+    """``docs`` with the kept words, joined by one space, as text; a text that loses nothing stays as it is.
 
-    @F.pandas_udf("string")
-    def clean(s, p):
-        import pandas as pd
-
-        return pd.Series([t if b is None else b" ".join(kept_words(t, b, window)[1]).decode() for t, b in zip(s, p)], dtype=object)
+    Null texts stay null, rows with a null id stay as they are, an empty table gives one; other columns, whatever
+    their names, pass unchanged. Rows that repeat an id are all cut by what was found in any of them.
+    """
+    (name,) = unused(docs.columns, "_places")
+    marked = with_places(docs, repeated_windows(texts(docs, id_col, text_col), window), id_col, name)
+    names, at, text = [f"c{i}" for i in range(len(docs.columns))], marked.columns.index(name), marked.columns.index(text_col)
 
-    return marked.withColumn(text_col, clean(text_col, "_places")).select(*docs.columns)
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                columns = list(part.columns)
+                if columns[at].null_count < part.num_rows:
+                    found = zip(columns[text].to_pylist(), columns[at].to_pylist())
+                    columns[text] = pa.array([t if t is None or b is None else b" ".join(kept_words(t, b, window)[1]).decode() for t, b in found], columns[text].type)
+                del columns[at]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return map_whole(marked, run, docs)
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"

@@ -42,14 +42,28 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+#: Settings of a file's model that change no merge.
+PLAIN_MODEL = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def plain_file(spec: dict) -> bool:
+    """Whether a file's model is plain BPE and its added tokens are matched as they are, in the text as it is."""
+    kept = all(not (t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")) for t in spec["added_tokens"])
+    return kept and spec["model"].get("type") == "BPE" and all(spec["model"].get(k) in (v, False, "") for k, v in PLAIN_MODEL.items())
+
+
 class RankArrayBPE:
-    """Encoder and decoder of a byte-level BPE vocabulary file."""
+    """Encoder and decoder of a byte-level BPE vocabulary file; files of another kind are refused."""
 
     def __init__(self, path: str):
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))
         model, letters = spec["model"], byte_letters()
+        cut = spec.get("pre_tokenizer") or {}
+        byte_level = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        if not (byte_level and plain_file(spec) and not spec.get("normalizer") and not model.get("end_of_word_suffix")):
+            raise ValueError(f"{path} is no plain byte-level vocabulary without a normaliser")
         vocab = model["vocab"]
         self.byte_ids = [vocab[c] for c in letters]
         self.ranks: dict[int, tuple[int, int]] = {}
@@ -150,7 +164,7 @@ class RankArrayBPE:
             self.chunks.clear()
             if len(self.words) > WORD_CACHE // 2:
                 self.words.clear()
-        if self.split_special and "<" in text:
+        if self.split_special and any(x in text for x in self.special):
             return b"".join(self.special[x] if x in self.special else self._plain(x) for x in self.split_special(text))
         return self._plain(text)
 
@@ -254,12 +268,25 @@ class WordMerges(dict):
         return found
 
 
+#: The normaliser and the cutting of the files that ``PieceTokenizer`` cuts itself: lower-cased NFC, then contractions,
+#: letters, single digits and other characters that are no white space, as bytes.
+PIECE_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECE_CUT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class PieceTokenizer:
     """Ids of a tokenizers-library file whose pieces never span white space, by cached pieces.
 
     Chunks between white space are cut into the file's own pre-tokens, lower-cased as its normaliser does; each new
     one is merged once. Texts in which that could differ (control characters that only Python calls white space, or
-    characters whose normal form differs) go to the library whole, and all texts where the file is of another kind.
+    characters whose normal form differs) or that hold an added token go to the library whole, and so do all texts where
+    the file's normaliser, cutting or model is any other than the one whose results are proven equal.
     """
 
     def __init__(self, path: str):
@@ -271,7 +298,9 @@ class PieceTokenizer:
 
         self.library = Tokenizer.from_file(path)
         spec = json.load(open(path, encoding="utf-8"))
-        by_piece = "Whitespace" in str(spec["pre_tokenizer"]) or "[^\\\\s" in json.dumps(spec["pre_tokenizer"])
+        by_piece = spec["normalizer"] == PIECE_NORMALIZER and spec["pre_tokenizer"] == PIECE_CUT and plain_file(spec)
+        by_piece = by_piece and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
+        self.special = [t["content"] for t in spec["added_tokens"]]
         # the letters below lower-case one by one and are their own normal forms
         self.plain = re.compile("[\\t-\\r -~\\xa1-\\xff]*").fullmatch
         cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+").findall
@@ -288,7 +317,7 @@ class PieceTokenizer:
         out: list[bytes | None] = [None] * len(items)
         whole: list[int] = []
         for i, t in enumerate(items):
-            if words is not None and self.plain(t) and "<|" not in t:
+            if words is not None and self.plain(t) and not any(x in t for x in self.special):
                 ranks = b"".join(map(words.__getitem__, t.lower().split()))
                 out[i] = words.ids[np.frombuffer(ranks, np.uint32)].tobytes()
             else:

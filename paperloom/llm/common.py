@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -9,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ARROW = {
     "long": pa.int64(),
@@ -37,7 +40,6 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            import contextlib
             import ctypes
             import gc
 
@@ -59,6 +61,28 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def map_whole(df: DataFrame, run, like: DataFrame) -> DataFrame:
+    """``df`` mapped by Arrow batches to the columns of ``like``; names, which may hold dots, play no part in between."""
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(like.schema)])
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(trimmed(run), plain).toDF(*like.columns)
+
+
+def with_text(df: DataFrame, text_col: str, fn: Callable[[list], list]) -> DataFrame:
+    """``df`` with its string column changed by ``fn`` over slices of it; the other columns pass as they are."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                part = batch.slice(a, SLICE)
+                columns = list(part.columns)
+                columns[at] = pa.array(fn(columns[at].to_pylist()), columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    small_batches(df.sparkSession)
+    return map_whole(df, run, df)
+
+
 def map_rows(df: DataFrame, fn: Callable[..., dict | None], ddl: str) -> DataFrame:
     """Map slices of rows: ``fn(*columns as lists)`` gives output columns as a dict of lists or arrays."""
 
@@ -81,16 +105,50 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_scratch(spark: SparkSession) -> None:
-    """checkpoint() needs a shared folder: the session's spark.checkpoint.dir, or a local one where none is set."""
+    """checkpoint() needs a shared folder: the session's spark.checkpoint.dir; a temporary one only on a local master."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         spark.sparkContext.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+_SCOPES: list[list[DataFrame]] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, which survives lost executors."""
     shared_scratch(df.sparkSession)
-    return df.checkpoint()
+    made = df.checkpoint()
+    for scope in _SCOPES:
+        scope.append(made)
+    return made
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared scratch space."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete checkpoints that nothing reads any more."""
+    for df in frames:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            delete(df.sparkSession, file.get())
+
+
+@contextlib.contextmanager
+def scratch():
+    """A scope whose checkpoints are deleted at its end, when what was made of them has been written."""
+    made: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        dropped(*made)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -101,8 +159,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input, as stored, for each partition of an operator's own shuffle, at most.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions(df: DataFrame) -> int:
+    """Partitions for an operator's shuffles of what it makes of ``df``: the session's, or more where the input is large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # a leaf of no known size, such as a local table's, says so with the largest number
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(x for x in sizes if x < 1 << 60) // PARTITION_BYTES)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -213,7 +290,9 @@ class IdFilter:
 
     def part(self, df: DataFrame, column: str, inside: bool) -> DataFrame:
         """The rows whose id may be in the set, or the others, null ids among them."""
+        p, w, v = unused(df.columns, "_p", "_w", "_v")
+        words = self.words.select(F.col("_w").alias(w), F.col("_v").alias(v))
         place = F.pmod(F.col(column).cast("long"), F.lit(self.bits))
-        marked = df.withColumn("_p", place).join(F.broadcast(self.words), (F.col("_p") / 64).cast("long") == F.col("_w"), "left")
-        hit = F.coalesce(F.expr("shiftright(_v, cast(pmod(_p, 64) as int)) & 1"), F.lit(0)) == 1
-        return marked.where(hit if inside else ~hit).select(*df.columns)
+        marked = df.withColumn(p, place).join(F.broadcast(words), (F.col(p) / 64).cast("long") == F.col(w), "left")
+        hit = F.coalesce(F.expr(f"shiftright({v}, cast(pmod({p}, 64) as int)) & 1"), F.lit(0)) == 1
+        return marked.where(hit if inside else ~hit).drop(p, w, v)

@@ -2,8 +2,11 @@
 
 A text that compresses far better than prose of its length is repetitive; one that hardly compresses is noise. Limits
 depend on the length because short inputs carry fixed costs. A text is kept if the base rules pass, its whole ratio is
-within the band of its length, and at most ``MAX_BAD_CHUNKS`` of its full chunks are outside the chunk band. Texts
-below the first band's length, empty ones among them, have no ratio rule.
+within the band of its length, and few of its chunks are outside the chunk band: at most ``MAX_BAD_CHUNKS`` of them and
+never more than ``MAX_BAD_BYTES`` together. Chunks of ``CHUNK`` bytes cover a text; where its length is no multiple of
+that, the last chunk ends with the text and overlaps the one before, and a text shorter than a chunk is one chunk,
+which its whole band judges. Under 128 bytes stored noise and dense prose compress alike, so bands there have no upper
+limit; texts under 16 bytes, too short for ten words, have no band.
 
 Nulls: a null text has no words (and so fails the base rules); a null id is kept. Repeated rows give repeated rows.
 """
@@ -11,6 +14,7 @@ Nulls: a null text has no words (and so fails the base rules); a null id is kept
 from __future__ import annotations
 
 import bisect
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,10 +22,11 @@ from pyspark.sql import DataFrame
 from .common import map_rows, texts
 
 #: (from bytes, lowest, highest ratio of compressed to plain bytes), measured on prose in four languages with a margin.
-BANDS = ((128, 0.40, 1.05), (256, 0.40, 0.92), (512, 0.40, 0.82), (1024, 0.38, 0.74), (2048, 0.38, 0.68), (4096, 0.36, 0.64), (8192, 0.35, 0.60), (16384, 0.32, 0.58), (65536, 0.28, 0.56))
+BANDS = ((16, 0.80, math.inf), (32, 0.70, math.inf), (64, 0.50, math.inf), (128, 0.40, 1.05), (256, 0.40, 0.92), (512, 0.40, 0.82), (1024, 0.38, 0.74), (2048, 0.38, 0.68), (4096, 0.36, 0.64), (8192, 0.35, 0.60), (16384, 0.32, 0.58), (65536, 0.28, 0.56))
 CHUNK = 2048
 CHUNK_BAND = (0.38, 0.68)
 MAX_BAD_CHUNKS = 0.2
+MAX_BAD_BYTES = 32768
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
@@ -70,19 +75,32 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeat_words(words)
 
 
+def chunks(b: bytes) -> list[bytes]:
+    """The chunks that cover a text: full ones, and a last one that ends with it; the whole text if it is shorter."""
+    if len(b) <= CHUNK:
+        return [b] if b else []
+    found = [b[i : i + CHUNK] for i in range(0, len(b) - CHUNK + 1, CHUNK)]
+    return found + [b[-CHUNK:]] * (len(b) % CHUNK > 0)
+
+
+def band(n_bytes: int) -> tuple[float, float]:
+    """Lowest and highest ratio for a length."""
+    at = bisect.bisect_right([x[0] for x in BANDS], n_bytes) - 1
+    return BANDS[at][1:] if at >= 0 else (0.0, math.inf)
+
+
 def ratios(b: bytes, compress) -> tuple[float, int, int]:
-    """Whole ratio (0 for no bytes), full chunks, and full chunks outside the chunk band."""
+    """Whole ratio (0 for no bytes), chunks, and chunks outside the band of a chunk's length."""
     if not b:
         return 0.0, 0, 0
-    whole = len(compress(b)) / len(b)
-    full = len(b) // CHUNK
-    bad = sum(not CHUNK_BAND[0] <= len(compress(b[i * CHUNK : (i + 1) * CHUNK])) / CHUNK <= CHUNK_BAND[1] for i in range(full))
-    return whole, full, bad
+    whole, found = len(compress(b)) / len(b), chunks(b)
+    low, high = CHUNK_BAND if len(b) >= CHUNK else band(len(b))
+    return whole, len(found), sum(not low <= len(compress(x)) / len(x) <= high for x in found) if len(b) > CHUNK else int(not low <= whole <= high)
 
 
-def in_band(n_bytes: int, whole: float, chunks: int, bad: int) -> bool:
-    at = bisect.bisect_right([x[0] for x in BANDS], n_bytes) - 1
-    return at < 0 or (BANDS[at][1] <= whole <= BANDS[at][2] and bad <= MAX_BAD_CHUNKS * chunks)
+def in_band(n_bytes: int, whole: float, n_chunks: int, bad: int) -> bool:
+    low, high = band(n_bytes)
+    return low <= whole <= high and (n_chunks < 2 or bad <= MAX_BAD_CHUNKS * n_chunks and bad * CHUNK <= MAX_BAD_BYTES)
 
 
 DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long"

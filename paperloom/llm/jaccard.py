@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, IdFilter, partitions, saved, texts, trimmed, window_hashes, word_hashes
+from .common import arrow_schema, dropped, IdFilter, partitions, saved, texts, trimmed, unused, window_hashes, word_hashes
 
 SHINGLE = 4
 PERCENT = 85
 #: Counters of the sketch: 1 MB, whatever the corpus.
 SLOTS, CHUNKS = 1 << 18, 16
+#: Sketches that one task adds up.
+FAN = 256
 BITS = 512
 #: Numbers of matches that a document may ask for.
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
@@ -104,9 +106,12 @@ SIGNATURES = "chunk int, doc_id long, d1 long, d2 long, n int, data binary, long
 
 
 def signatures(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """For each document its set's digest, size and bitmap; and each task's counting sketch (rows with a ``chunk``)."""
+    """For each document its set's digest, size and bitmap; and each task's counting sketch, by task in ``doc_id`` (rows with a ``chunk``)."""
 
     def run(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
         schema, counts = arrow_schema(SIGNATURES), np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -118,25 +123,33 @@ def signatures(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
                     out.append((None, doc, *d, len(s), bitmap(s), long_bitmap(s)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         if counts.any():
-            out = [(k, None, None, None, None, part.tobytes(), None) for k, part in enumerate(np.split(counts, CHUNKS))]
+            out = [(k, task, None, None, None, part.tobytes(), None) for k, part in enumerate(np.split(counts, CHUNKS))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return rows.mapInArrow(trimmed(run), SIGNATURES)
 
 
-def sketch(signed: DataFrame) -> np.ndarray:
-    """Sum the tasks' sketches, chunk by chunk; the driver gets ``SLOTS`` counters."""
-    ddl = "chunk int, data binary"
+def sketch(signed: DataFrame, fan: int = FAN) -> np.ndarray:
+    """Sum the tasks' sketches, chunk by chunk and in a tree of ``fan`` at a time; the driver gets ``SLOTS`` counters."""
+    ddl, width = "chunk int, task long, data binary", SLOTS // CHUNKS
 
     def total(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(data, np.uint32).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.uint64).tobytes() for x in sums.values()], pa.binary())], schema=arrow_schema(ddl))
+            for k, task, data in zip(*(c.to_pylist() for c in batch.columns)):
+                counts = np.frombuffer(data, np.uint32 if len(data) == 4 * width else np.uint64).astype(np.uint64)
+                sums[k, task] = sums.get((k, task), 0) + counts
+        columns = ([k for k, _ in sums], [t for _, t in sums], [x.tobytes() for x in sums.values()])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow_schema(ddl))], schema=arrow_schema(ddl))
 
-    out = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint64)
-    for r in signed.where("chunk is not null").select("chunk", "data").repartition(CHUNKS, "chunk").mapInArrow(trimmed(total), ddl).collect():
+    rows, groups = signed.where("chunk is not null").select("chunk", F.col("doc_id").alias("task"), "data"), signed.rdd.getNumPartitions()
+    while True:
+        groups = max(1, -(-groups // fan))
+        rows = rows.withColumn("task", F.pmod("task", F.lit(groups))).repartition(CHUNKS * groups, "chunk", "task").mapInArrow(trimmed(total), ddl)
+        if groups == 1:
+            break
+    out = np.zeros((CHUNKS, width), np.uint64)
+    for r in rows.collect():
         out[r["chunk"]] = np.frombuffer(r["data"], np.uint64)
     return out.ravel()
 
@@ -169,9 +182,9 @@ DEALT = "route int, tokens binary, docs binary, levels binary, needs binary"
 ENTRIES = "token long, rep long, level int, matches int, k int"
 
 
-def entries(rows: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+def entries(rows: DataFrame, counts: np.ndarray, size: int, percent: int, n_parts: int) -> DataFrame:
     """Prefix entries of shingles that two or more documents put out, and how many do; equal sets within a batch count once."""
-    ranges = RANGES * partitions(rows.sparkSession)
+    ranges = RANGES * n_parts
     order_of = Order(counts)
 
     def deal(tokens, docs, levels, needs, schema):
@@ -230,7 +243,7 @@ def entries(rows: DataFrame, counts: np.ndarray, size: int, percent: int) -> Dat
         if held[0]:
             yield shared(*held, schema)
 
-    return rows.mapInArrow(trimmed(put_out), DEALT).repartition(partitions(rows.sparkSession), "route").sortWithinPartitions("route").mapInArrow(trimmed(meet), ENTRIES)
+    return rows.mapInArrow(trimmed(put_out), DEALT).repartition(n_parts, "route").sortWithinPartitions("route").mapInArrow(trimmed(meet), ENTRIES)
 
 
 PAIRS = "a long, b long"
@@ -346,7 +359,7 @@ def long_filter(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "dataa", "nb", "datab").mapInArrow(trimmed(run), PAIRS)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int, n_parts: int) -> DataFrame:
     """The pairs (a, b) that are linked. Each a's text goes once to every ``STAR`` of its partners, theirs follow."""
     ids = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     rows = IdFilter(ids).part(rows, "doc_id", True).join(ids, "doc_id").dropDuplicates(["doc_id"])
@@ -369,7 +382,7 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
-    stars = leads.unionByName(members).repartition(partitions(rows.sparkSession), "a", "part")
+    stars = leads.unionByName(members).repartition(n_parts, "a", "part")
     return stars.sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(trimmed(run), PAIRS)
 
 
@@ -377,20 +390,24 @@ def components(edges: DataFrame) -> DataFrame:
     """``id, comp``: the smallest id reachable, for each id with an edge, by label propagation with pointer jumping."""
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
+    last = labels
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("comp").alias("m"))
         step = labels.join(near, labels["id"] == near["a"]).select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         up = labels.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
         new = saved(step.join(up, "comp", "left").select("id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")))
-        if new.where("old <> comp").isEmpty():
+        done = new.where("old <> comp").isEmpty()
+        dropped(last)
+        if done:
+            dropped(both)
             return new.select("id", "comp")
-        labels = new.select("id", "comp")
+        labels, last = new.select("id", "comp"), new
 
 
 def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row; two documents link at ``percent`` of Jaccard similarity or more."""
     rows = texts(docs, id_col, text_col)
-    n_parts = partitions(docs.sparkSession)
+    n_parts = partitions(docs)
     signed = saved(signatures(rows, size))
     counts = sketch(signed)
     own = signed.where("chunk is null").select("doc_id", "d1", "d2", "n", "data", "long")
@@ -399,7 +416,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     class_of = saved(filled.select("doc_id", "d1", "d2").distinct().join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep"))
     # copies of a class mostly stay out; what those that the filter lets through put out is their class's, once
     own_set = IdFilter(classes.select(F.col("rep").alias("doc_id")))
-    shared = saved(entries(own_set.part(rows, "doc_id", True), counts, size, percent))
+    shared = saved(entries(own_set.part(rows, "doc_id", True), counts, size, percent, n_parts))
     slipped = saved(own_set.part(class_of, "doc_id", True).groupBy("doc_id").agg(F.max("rep").alias("of")).where("of < doc_id"))
     if not slipped.isEmpty():
         named = shared.join(slipped, F.col("rep") == F.col("doc_id"), "left").withColumn("rep", F.coalesce("of", "rep"))
@@ -411,7 +428,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     best = F.coalesce("long", "data").alias("data")
     few = split.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("token", "own"))), 1, LEADER_GROUPS).alias("x")).select("rep", F.inline("x"))
     near = leader_pairs(few.join(reps.select("rep", "n", best), "rep").select("token", "own", "rep", "n", "data").repartition(n_parts, "token", "own").sortWithinPartitions("token", "own", "rep"), percent)
-    links = saved(verified(saved(near), rows, size, percent))
+    links = saved(verified(saved(near), rows, size, percent, n_parts))
     first = components(links)
 
     labelled = reps.select("rep", "n", "data").join(first, F.col("rep") == F.col("id"), "left").select("rep", "n", "data", F.coalesce("comp", "rep").alias("comp"))
@@ -427,7 +444,7 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     crossing = crossing_pairs(paired.repartition(n_parts, "token", "low", "high").sortWithinPartitions("token", "low", "high"), percent)
     crossing = saved(long_filter(saved(crossing), reps.select("rep", "n", best), percent))
     final = first
-    more = saved(verified(crossing, rows, size, percent))
+    more = saved(verified(crossing, rows, size, percent, n_parts))
     if not more.isEmpty():
         label = lambda side: first.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
         bridges = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
@@ -441,11 +458,24 @@ def join_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component, once each; rows with a null id stay."""
+    """The rows of ``docs`` that are the smallest id of their component, once each; rows with a null id stay.
+
+    Of rows that repeat such an id, the one with the smallest text stays, and of equal texts the one whose row is first
+    as JSON. Null and wordless texts are linked with nothing and stay; an empty table gives one; other columns, whatever
+    their names, pass unchanged.
+    """
     found = saved(join_components(docs, id_col=id_col, text_col=text_col, size=size, percent=percent))
     stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    key = F.col(id_col).cast("long")
-    kept = docs.join(stay.select(F.col("doc_id").alias("_stay")), key == F.col("_stay"), "left_semi")
-    if not stay.where("copies > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(key.isNull()))
+    (name, row) = unused(docs.columns, "_stay", "_row")
+    key, ids = F.col(id_col).cast("long"), stay.select(F.col("doc_id").alias(name), "copies")
+
+    def kept(some: DataFrame) -> DataFrame:
+        return docs.join(some.select(name), key == F.col(name), "left_semi")
+
+    out = kept(ids.where("copies = 1")).unionByName(docs.where(key.isNull()))
+    many = ids.where("copies > 1")
+    if not many.isEmpty():
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        first = kept(many).groupBy(key.alias(name)).agg(F.min_by(whole, F.struct(F.col(text_col).cast("string"), F.to_json(whole))).alias(row))
+        out = out.unionByName(first.select(f"{row}.*"))
+    return out

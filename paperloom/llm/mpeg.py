@@ -120,6 +120,8 @@ def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
     major, end = data[at + 3], at + 10 + _synchsafe(data[at + 6 : at + 10])
     after = end + 10 * bool(data[at + 5] & 0x10)
     p = at + 10
+    if data[at + 5] & 0x40 and end >= p + 4:  # an extended header, whose size counts itself from version 4 on
+        p += _synchsafe(data[p : p + 4]) if major >= 4 else 4 + int.from_bytes(data[p : p + 4], "big")
     while p + 10 <= min(end, len(data)) and data[p : p + 4].strip(b"\0"):
         size = _synchsafe(data[p + 4 : p + 8]) if major >= 4 else int.from_bytes(data[p + 4 : p + 8], "big")
         body = data[p + 10 : p + 10 + size]
@@ -247,8 +249,8 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(b), b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-FULL = DIGEST + ", media binary, sample_rate long, samples long, seek_offsets array<long>"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, sample_rate long, samples long, n_frames long, seek_offsets array<long>"
+FULL = DIGEST + ", media binary"
 
 
 def audio_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
@@ -264,8 +266,8 @@ def audio_columns(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             back = read_payload(s)
             seek = zlib.crc32(struct.pack(f"<{len(s.offsets)}Q", *s.offsets))
             feature = f"mpeg{s.version} layer{s.layer} {s.rate}Hz frames={len(s.offsets)} duration={s.samples}/{s.rate} table={s.table['kind']}:{s.table['frames']} crc={s.crc_checked - s.crc_failed}/{s.crc_checked} skipped={s.skipped} seek={seek:08x}"
-            row = (i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-            out.append(row + ((media, s.rate, s.samples, s.offsets) if with_media else ()))
+            row = (i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, s.rate, s.samples, len(s.offsets), s.offsets)
+            out.append(row + ((media,) if with_media else ()))
         return dict(zip((c.split()[0] for c in ddl.split(", ")), zip(*out)))
 
     return map_rows(texts(docs, id_col, text_col), rows, ddl)

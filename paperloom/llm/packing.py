@@ -189,14 +189,14 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     histogram = {r["class"]: r["n"] for r in cut.groupBy(units.alias("class")).agg(F.count("*").alias("n")).collect()}
     table = slots(plan(histogram, -(-length // granule)))
     buckets = max(1, -(-sum(histogram.values()) // BUCKET_ROWS))
-    key = F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int")
+    key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int")
     numbered = cut.select("*", units.alias("class"), key.alias("bucket"))
     before = numbered.groupBy("class", "bucket").agg(F.count("*").alias("n")).select(
         "class", "bucket", (F.sum("n").over(W.partitionBy("class").orderBy("bucket")) - F.col("n")).alias("before")
     )
-    # a null id's rows share a bucket; nothing else needs one order among equals
+    # pieces of one order are alike in all that is returned, so that a task run again gives the same rows
     ranked = numbered.join(before, ["class", "bucket"]).withColumn(
-        "rank", F.row_number().over(W.partitionBy("class", "bucket").orderBy("doc_id", "start")) + F.col("before") - 1
+        "rank", F.row_number().over(W.partitionBy("class", "bucket").orderBy("doc_id", "start", "length", "ids_crc32")) + F.col("before") - 1
     ).drop("before", "bucket")
     names = ranked.columns
     placed_ddl = ", ".join(f"{n} {t.replace('bigint', 'long')}" for n, t in ranked.dtypes) + ", sequence_id long, slot long"

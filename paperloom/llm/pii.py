@@ -14,13 +14,14 @@ exclusive. Repeated rows give repeated rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
 
 from pyspark.sql import DataFrame
 
-from .common import map_rows, small_batches, texts
+from .common import map_rows, texts, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -231,13 +232,16 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     base = detect(t)
     added: list[Span] = []
     for m in disguised(t):
+        found = detect(m.text)
         for k, kind in enumerate(KINDS):
-            held = list(base[kind])
-            for a, b in detect(m.text)[kind]:
+            # both lists are in order: what could hold a span is the last base span that begins before it, or an added one
+            starts, reach = [x for x, _ in base[kind]], -1
+            for a, b in found[kind]:
                 s, e = m.source(a, b)
-                if not any(x <= s and e <= y for x, y in held):
-                    held.append((s, e))
+                at = bisect.bisect_right(starts, s) - 1
+                if e > reach and (at < 0 or base[kind][at][1] < e):
                     added.append((s, k, e))
+                    reach = e
     return sorted((s, k, e) for k, kind in enumerate(KINDS) for s, e in base[kind]), sorted(added)
 
 
@@ -273,13 +277,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of the text column replaced by its kind; other columns and nulls stay."""
-    from pyspark.sql import functions as F
+    """``docs`` with every span of the text column replaced by its kind; other columns, whatever their names, and nulls stay.
 
-    small_batches(docs.sparkSession)
-
-    @F.pandas_udf("string")
-    def clean(s):
-        return s.map(lambda t: None if t is None else redacted(t, sorted(sum(find(t), []))))
-
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    An empty table gives one; empty texts stay empty.
+    """
+    return with_text(docs, text_col, lambda found: [None if t is None else redacted(t, sorted(sum(find(t), []))) for t in found])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, held_out_col, map_rows, saved, texts, trimmed
+from .common import arrow_schema, held_out_col, IdFilter, map_rows, saved, texts, trimmed, unused
 
 STEP = 4096.0
 SHRINKAGE = 0.1
@@ -67,14 +67,14 @@ def compressor():
 
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and the statistics as packed doubles, one row for each row of ``docs``."""
-    ddl = "doc_id long, x binary"
+    """``doc_id``, a hash of the text and the statistics as packed doubles, one row for each row of ``docs``."""
+    ddl = "doc_id long, hash long, x binary"
 
-    def rows(ids, found):
+    def rows(ids, found, hashes):
         compress = compressor()
-        return {"doc_id": ids, "x": [np.array(statistics(t, compress)).tobytes() for t in found]}
+        return {"doc_id": ids, "hash": hashes, "x": [np.array(statistics(t, compress)).tobytes() for t in found]}
 
-    return map_rows(texts(docs, id_col, text_col), rows, ddl)
+    return map_rows(texts(docs, id_col, text_col).withColumn("hash", F.xxhash64(F.coalesce("text", F.lit("")))), rows, ddl)
 
 
 @dataclass
@@ -149,12 +149,29 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         s = model.scores(np.frombuffer(b"".join(packed)).reshape(-1, len(NAMES)))
         return {"doc_id": ids, "score": s, "predicted": (s >= threshold).astype(np.int32)}
 
-    return map_rows(stats, rows, "doc_id long, score double, predicted int").select("doc_id", held_out_col("doc_id").alias("held_out"), "score", "predicted")
+    return map_rows(stats.select("doc_id", "x"), rows, "doc_id long, score double, predicted int").select("doc_id", held_out_col("doc_id").alias("held_out"), "score", "predicted")
 
 
 def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores at least the threshold."""
-    model = fit(with_statistics(docs, id_col, text_col), labels, label_col)
+    """The rows of ``docs``, with all their columns, whose text scores at least the threshold.
+
+    Statistics are computed once for each text; the rejected texts, by id and digest, are few, and only rows that may
+    be among them take part in a join. A null text is judged as an empty one. Rows with a null id are judged in place.
+    An empty table gives one; other columns, whatever their names, pass unchanged.
+    """
+    digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    stats = saved(with_statistics(docs, id_col, text_col))
+    model = fit(stats, labels, label_col)
+
+    def rows(ids, hashes, packed):
+        low = model.scores(np.frombuffer(b"".join(packed)).reshape(-1, len(NAMES))) < threshold
+        return {"doc_id": [i for i, x in zip(ids, low) if x], "hash": [h for h, x in zip(hashes, low) if x]}
+
+    bad = saved(map_rows(stats.where("doc_id is not null").select("doc_id", "hash", "x"), rows, "doc_id long, hash long").distinct())
+    some, (at, h) = IdFilter(bad), unused(docs.columns, "_at", "_hash")
+    key = docs.withColumn(at, F.col(id_col).cast("long")).withColumn(h, digest)
+    judged = some.part(key, at, True).join(bad.select(F.col("doc_id").alias(at), F.col("hash").alias(h)), [at, h], "left_anti")
+    clear = some.part(key, at, False)
 
     @F.pandas_udf("boolean")
     def good(s):
@@ -164,4 +181,5 @@ def keep(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col
         x = np.array([statistics(t, compress) for t in s]).reshape(-1, len(NAMES))
         return pd.Series(model.scores(x) >= threshold)
 
-    return docs.where(good(F.col(text_col)))
+    nameless = docs.where(F.col(id_col).isNull()).where(good(F.col(text_col).cast("string")))
+    return judged.unionByName(clear.where(F.col(at).isNotNull())).drop(at, h).unionByName(nameless)

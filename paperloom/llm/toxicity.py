@@ -47,6 +47,8 @@ PIECES = {"k": 24, "d": 6}
 FALSE_ALARMS = 0.005
 #: Bytes from which a saving counts.
 LARGE = (3, 4, 5)
+#: Windows beyond which a text's counts grow no more, as the logistic fit knows few texts so long.
+MOST = 4096
 #: Windows compressed in one call.
 CALL = 1 << 16
 #: Stands after each window and ends both dictionaries, so that every block is a compressed one and has paid its fixed
@@ -98,13 +100,14 @@ def lengths(c, found: list[bytes]) -> np.ndarray:
 
 
 def features(savings: np.ndarray) -> list[float]:
-    """A document's features from its windows' savings."""
+    """A document's features from its windows' savings; of a very long text counts are scaled to ``MOST`` windows."""
     n = len(savings)
     if not n:
         return [0.0] * 8
-    best = np.sort(savings)[::-1][:3]
-    many = [int((savings >= x).sum()) for x in LARGE]
-    return [best[0] / 4, best.sum() / 12, 4 * savings.sum() / (n + 8), 8 * many[0] / (n + 8), 8 * many[2] / (n + 8), math.log(n) / 4, math.sqrt(many[1]) / 2, math.sqrt(many[2]) / 2]
+    best, scale = np.sort(savings)[::-1][:3], min(1.0, MOST / n)
+    many = [int((savings >= x).sum()) * scale for x in LARGE]
+    saved, n = savings.sum() * scale, n * scale
+    return [best[0] / 4, best.sum() / 12, 4 * saved / (n + 8), 8 * many[0] / (n + 8), 8 * many[2] / (n + 8), math.log(n) / 4, math.sqrt(many[1]) / 2, math.sqrt(many[2]) / 2]
 
 
 @dataclass

@@ -4,8 +4,9 @@ Level 1 of the cascade encodes the listed keys; level 2 the keys of the corpus's
 falsely; level 3 the listed keys that level 2 holds falsely, and so on until a level has no false positive. A key of
 the universe is listed exactly if the first level that lacks it is an even one (or it passes all of an odd number).
 Look-ups are expressions over binary literals: no join, no Python. Filters are built by aggregating bits; the driver
-gets filter words only, whose number is bounded by ``MAX_BITS``. A list too long for that bound is answered by a
-semi-join instead, which is exact as well.
+gets filter words only. A list whose levels would need more than about ``MAX_BITS`` bits is dealt by hash into shards
+of that size, each with its own cascade; the pages then pass one shard after the other, so that the driver and a plan
+hold one shard's bits at a time, whatever the list's length.
 
 Nulls: a null url, or one without "://", has an empty host and path; an empty host has no key and is allowed. A null
 page id is kept. Repeated rows give repeated rows; an empty list or table blocks nothing.
@@ -14,16 +15,21 @@ page id is kept. Repeated rows give repeated rows; an empty list or table blocks
 from __future__ import annotations
 
 import math
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import dropped, saved
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Bits of all levels together: 8 MB of literals in a plan.
+#: Bits of all levels of a shard together, about: 8 MB of literals in a plan.
 MAX_BITS = 64 << 20
+#: Filter words that meet in one binary value on their way to the driver.
+BLOCK = 4096
+#: Levels of a cascade at most; each holds a quarter of the one before, so more means that something is wrong.
+MAX_LEVELS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -93,32 +99,34 @@ class Cascade:
 
 
 def filter_of(keys: DataFrame, seed: int, bits: int, hashes: int) -> Level:
-    """A filter of the column ``key``: bits are or-ed on the executors, the driver gets 64-bit words."""
+    """A filter of the column ``key``: bits are or-ed on the executors, the driver gets 64-bit words in binary blocks."""
     empty = Level(seed, bits, hashes, b"")
     bit = keys.select(F.explode(F.array(*empty.positions(F.col("key")))).alias("p"))
-    words = bit.groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")).alias("v")).collect()
+    words = bit.groupBy((F.col("p") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(p, 64) as int))")).alias("v"))
+    hexed = F.collect_list(F.concat(F.lpad(F.hex("w"), 16, "0"), F.lpad(F.hex("v"), 16, "0")))
+    blocks = words.groupBy((F.col("w") / BLOCK).cast("long").alias("b")).agg(F.unhex(F.array_join(hexed, "")).alias("words"))
     data = bytearray(8 * -(-bits // 64))
-    for r in words:
-        data[8 * r["w"] : 8 * r["w"] + 8] = (r["v"] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
+    for r in blocks.select("words").collect():
+        for w, v in struct.iter_unpack(">QQ", r["words"]):
+            data[8 * w : 8 * w + 8] = v.to_bytes(8, "little")
     return Level(seed, bits, hashes, bytes(data))
 
 
-def cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS) -> Cascade | None:
-    """The cascade for the distinct ``key`` values of ``listed`` within those of ``universe``; None if over the bound."""
-    inside = saved(listed.select("key").where(F.col("key").isNotNull()).distinct())
-    n = inside.count()
+def shard_of(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards))
+
+
+def cascade(universe: DataFrame, inside: DataFrame, n: int, hashes: int, max_levels: int = MAX_LEVELS) -> Cascade:
+    """The cascade for the ``n`` distinct ``key`` values of ``inside`` within those of ``universe``.
+
+    hashes: of the first level, which lets in about as many keys as are listed; the others let in a quarter each.
+    """
     if not n:
         return Cascade(())
-    # the first level lets in about as many keys as are listed; the others each a quarter
-    size = universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
-    hashes = max(2, min(24, math.ceil(math.log2(max(4, size / n)))))
     levels: list[Level] = []
-    encoded, other, count = inside, None, n
-    for seed in range(1, 65):
-        bits = max(64, math.ceil(count * hashes / math.log(2)))
-        if sum(x.bits for x in levels) + bits > max_bits:
-            return None
-        level = filter_of(encoded, seed, bits, hashes)
+    encoded, other, count, spent = inside, None, n, []
+    for seed in range(1, max_levels + 1):
+        level = filter_of(encoded, seed, max(64, math.ceil(count * hashes / math.log(2))), hashes)
         levels.append(level)
         if seed == 1:
             # of the universe, only what passes level 1 is ever gathered; the list's own keys leave by a join when building
@@ -126,11 +134,29 @@ def cascade(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS) ->
         else:
             false = other.where(level.holds(F.col("key")))
         false = saved(false)
+        spent.append(false)
         count = false.count()
         if not count:
-            break
+            dropped(*spent)
+            return Cascade(tuple(levels))
         encoded, other, hashes = false, encoded, 2
-    return Cascade(tuple(levels))
+    raise RuntimeError(f"{count} keys are still held falsely after {max_levels} levels")
+
+
+def cascades(universe: DataFrame, listed: DataFrame, max_bits: int = MAX_BITS):
+    """The cascades of a list's shards, one after the other, as (shard, number of shards, cascade); none for an empty list."""
+    inside = saved(listed.select("key").where(F.col("key").isNotNull()).distinct())
+    n = inside.count()
+    if n:
+        size = universe.agg(F.approx_count_distinct("key").alias("n")).first()["n"]
+        hashes = max(2, min(24, math.ceil(math.log2(max(4, size / n)))))
+        # level 1, level 2 with two hashes for about as many keys, and a quarter for each further level
+        shards = max(1, math.ceil(n * (hashes + 3) / math.log(2) / max_bits))
+        for k in range(shards):
+            of_shard = lambda df: df if shards == 1 else df.where(shard_of(F.col("key"), shards) == k)  # noqa: B023, E731
+            own = of_shard(inside)
+            yield k, shards, cascade(of_shard(universe), own, n if shards == 1 else own.count(), hashes)
+    dropped(inside)
 
 
 def judge(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, max_bits: int = MAX_BITS) -> DataFrame:
@@ -141,14 +167,16 @@ def judge(pages: DataFrame, listed: DataFrame, *, id_col: str = "page_id", url_c
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     universe = rows.select(F.explode(host_keys(F.col("host"))).alias("key"))
-    built = cascade(universe, listed, max_bits)
-    if built is not None:
-        known = F.exists(host_keys(F.col("host")), built.member)
-        out = rows.withColumn("listed", known)
-    else:
-        hit = universe.distinct().join(listed.select("key").distinct(), "key", "left_semi")
-        hosts = rows.select("host").distinct().select("host", F.explode(host_keys(F.col("host"))).alias("key")).join(hit, "key", "left_semi").select("host").distinct()
-        out = rows.join(hosts.withColumn("listed", F.lit(True)), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    out, before = rows.withColumn("listed", F.lit(False)), None
+    for k, shards, built in cascades(universe, listed, max_bits):
+        if shards == 1:
+            out = rows.withColumn("listed", F.exists(host_keys(F.col("host")), built.member))
+        elif built.levels:
+            found = F.exists(host_keys(F.col("host")), lambda key: (shard_of(key, shards) == k) & built.member(key))  # noqa: B023
+            out = saved(out.withColumn("listed", F.col("listed") | found))
+            if before is not None:
+                dropped(before)
+            before = out
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"), "listed")
