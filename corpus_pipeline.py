@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import anchors, jaccard, packing, pii, quality
-from paperloom.llm.common import scratch_path
+from paperloom.llm.common import delete, scratch, scratch_path
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -52,14 +52,19 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: No stage is expressible in SQL; tests hold run() against brute force.
+#: No stage is expressible in SQL; tests hold the stages and run() against an independent implementation.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. What a stage wrote goes when the next one has been written; the last stage's input stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
