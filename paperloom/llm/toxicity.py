@@ -3,7 +3,8 @@
 Windows are overlapping runs of ``WINDOW`` consecutive lower-cased words. The ordinary dictionary is trained on the
 windows of ordinary texts; its most recurring content stands once more at its end, where references are cheapest. The
 toxic dictionary holds the same and, between the two, content trained on windows of toxic texts. A window's saving is
-how many bytes shorter the toxic dictionary makes it. Toxic texts consist mostly of ordinary words, so the toxic
+how many bytes shorter the toxic dictionary makes it; windows without a run of bytes that only the toxic content has
+are not compressed and save nothing. Toxic texts consist mostly of ordinary words, so the toxic
 content is purified: it is trained again, ``ROUNDS`` times, on those windows of the other half of the toxic texts that
 the last content saves most on. What recurs in toxic text and not in ordinary text is then what remains.
 
@@ -44,11 +45,13 @@ SHARE = 0.08
 #: Length of the pieces that training on toxic windows chooses.
 PIECES = {"k": 24, "d": 6}
 #: Share of ordinary texts that the calibrated threshold, a score of 0.5, lets through.
-FALSE_ALARMS = 0.005
+FALSE_ALARMS = 0.003
 #: Bytes from which a saving counts.
 LARGE = (3, 4, 5)
 #: Windows beyond which a text's counts grow no more, as the logistic fit knows few texts so long.
 MOST = 4096
+#: Bytes of text looked through at once.
+STRETCH = 1 << 21
 #: Windows compressed in one call.
 CALL = 1 << 16
 #: Stands after each window and ends both dictionaries, so that every block is a compressed one and has paid its fixed
@@ -63,10 +66,33 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def windows(text: str | None, step: int = STEP) -> list[bytes]:
-    """A text's windows; the last may be shorter, and a text without words has none."""
-    w = words_of(text)
-    return [b" ".join(w[i : i + WINDOW]) for i in range(0, max(1, len(w) - WINDOW + step), step)] if w else []
+def laid_out(text: str | None, step: int | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text's words with single spaces before, between and after, and where its windows begin and end, spaces included.
+
+    The last window may have fewer words; a text without words has none.
+    """
+    words = words_of(text)
+    if not words:
+        return b"", np.empty(0, np.int64), np.empty(0, np.int64)
+    begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+    first = np.arange(0, max(1, len(words) - WINDOW + (step or STEP)), step or STEP)
+    return b" " + b" ".join(words) + b" ", begins[first], begins[np.minimum(first + WINDOW, len(words))] + 1
+
+
+def windows(text: str | None, step: int | None = None) -> list[bytes]:
+    """A text's windows, each with a space at either end."""
+    data, starts, ends = laid_out(text, step)
+    return [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def runs(data: bytes) -> np.ndarray:
+    """Each run of ``SEARCH["min_match"]`` bytes as a number."""
+    n = SEARCH["min_match"]
+    x = np.frombuffer(data, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(x) - n + 1), np.uint64)
+    for k in range(n):
+        out |= x[k : len(x) - n + 1 + k] << np.uint64(8 * k)
+    return out
 
 
 def trained(samples: list[bytes], size: int, **how) -> bytes:
@@ -94,11 +120,52 @@ def lengths(c, found: list[bytes]) -> np.ndarray:
     """Compressed length of each window, its carrier included."""
     out = []
     for at in range(0, len(found), CALL):
-        packed = c.multi_compress_to_buffer([b" " + w + CARRIER for w in found[at : at + CALL]])
+        packed = c.multi_compress_to_buffer([w + CARRIER for w in found[at : at + CALL]])
         out += [len(packed[i]) for i in range(len(packed))]
     return np.array(out, np.int64)
 
 
+class Pair:
+    """The two dictionaries' compressors, and what the toxic one saves.
+
+    Only windows with a run of bytes that the toxic content has and the ordinary dictionary lacks are compressed; the
+    dictionaries have the same to offer to the others, whose saving is 0.
+    """
+
+    def __init__(self, base: bytes, toxic: bytes, near: bytes):
+        self.both = compressor(base, near), compressor(base, toxic, near)
+        self.telling = np.setdiff1d(runs(toxic), runs(base + near + CARRIER))
+        self.slots = np.zeros(1 << 16, bool)
+        self.slots[self._slot(self.telling)] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+
+    def savings(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Bytes saved on each window ``data[start:end]``."""
+        n, before = SEARCH["min_match"], np.zeros(len(data) + 2, np.int32)
+        for at in range(0, len(data), STRETCH):
+            keys = runs(data[at : at + STRETCH + n - 1])
+            hits = np.flatnonzero(self.slots[self._slot(keys)])
+            if len(hits):
+                place = np.minimum(np.searchsorted(self.telling, keys[hits]), len(self.telling) - 1)
+                before[at + 1 + hits[self.telling[place] == keys[hits]]] = 1
+        np.cumsum(before, out=before)
+        out = np.zeros(len(starts), np.int64)
+        some = np.flatnonzero((ends - starts >= n) & (before[np.maximum(ends - n + 1, 0)] > before[starts]))
+        for at in range(0, len(some), CALL):
+            part = some[at : at + CALL]
+            found = [data[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist())]
+            plain, toxic = (lengths(c, found) for c in self.both)
+            out[part] = plain - toxic
+        return out
+
+    def of_list(self, found: list[bytes]) -> np.ndarray:
+        ends = np.cumsum([0, *map(len, found)])
+        return self.savings(b"".join(found), ends[:-1], ends[1:])
+
+
 def features(savings: np.ndarray) -> list[float]:
     """A document's features from its windows' savings; of a very long text counts are scaled to ``MOST`` windows."""
     n = len(savings)
@@ -127,18 +194,14 @@ class Model:
         self.base, self.toxic, self.near, self.weights = state
         self._pair = None
 
-    def savings(self, found: list[bytes]) -> np.ndarray:
-        """Bytes that the toxic dictionary saves on each window."""
+    def savings(self, text: str | None) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each window of a text."""
         if self._pair is None:
-            self._pair = [compressor(self.base, self.near), compressor(self.base, self.toxic, self.near)]
-        plain, toxic = (lengths(c, found) for c in self._pair)
-        return plain - toxic
+            self._pair = Pair(self.base, self.toxic, self.near)
+        return self._pair.savings(*laid_out(text))
 
     def all_features(self, found: Iterable[str | None]) -> np.ndarray:
-        of_text = [windows(t) for t in found]
-        saved = self.savings([w for x in of_text for w in x])
-        ends = np.cumsum([0, *map(len, of_text)])
-        return np.array([features(saved[a:b]) for a, b in zip(ends, ends[1:])]).reshape(-1, 8)
+        return np.array([features(self.savings(t)) for t in found]).reshape(-1, 8)
 
     def scores(self, found: list[str | None]) -> np.ndarray:
         if not len(self.weights):
@@ -177,14 +240,12 @@ def contents(common: list[bytes], halves: list[list[bytes]]) -> tuple[bytes, byt
     guards: dict[bytes, None] = {}
     guard = b""
     for r in range(1, ROUNDS + 1):
-        plain, toxic = compressor(base, guard, near), compressor(base, guard, content, near)
-        saved = lengths(plain, common) - lengths(toxic, common)
+        saved = Pair(base + guard, content, near).of_list(common)
         guards.update((common[i], None) for i in np.flatnonzero(saved >= LARGE[0]))
         if guards:
             guard = trained(list(guards), GUARD_BYTES)
-            plain, toxic = compressor(base, guard, near), compressor(base, guard, content, near)
         pool = halves[r % 2]
-        saved = lengths(plain, pool) - lengths(toxic, pool)
+        saved = Pair(base + guard, content, near).of_list(pool)
         top = np.sort(np.argsort(-saved, kind="stable")[: max(200, int(SHARE * len(pool)))])
         chosen = [pool[i] for i in top if saved[i] >= LARGE[0]]
         if not chosen:

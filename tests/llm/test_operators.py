@@ -276,8 +276,14 @@ def test_toxicity_compares_windows_of_running_text(spark):
     for text in (group[1][160], "Two WORDS", "", None):
         w = (text or "").lower().split()
         runs = [" ".join(w[i : i + 6]) for i in range(0, max(1, len(w) - 3), 3)] if w else []
-        assert [x.decode() for x in toxicity.windows(text)] == runs
-        saved = np.array([size(ordinary, b" " + x.encode() + toxicity.CARRIER) - size(other, b" " + x.encode() + toxicity.CARRIER) for x in runs], np.int64)
+        assert [x.decode() for x in toxicity.windows(text)] == [f" {x} " for x in runs]
+        telling = {model.toxic[k : k + 6] for k in range(len(model.toxic) - 5)}
+        telling = {x for x in telling if x not in model.base + model.near + toxicity.CARRIER}
+        saved = []
+        for x in toxicity.windows(text):
+            own = any(x[k : k + 6] in telling for k in range(len(x) - 5))
+            saved.append(size(ordinary, x + toxicity.CARRIER) - size(other, x + toxicity.CARRIER) if own else 0)
+        saved = np.array(saved, np.int64)
         assert model.all_features([text]).tolist() == [toxicity.features(saved)]
     shuffled = [" ".join(random.sample(t.split(), len(t.split()))) for t in group[1][160:]]
     assert (model.scores(shuffled) != p[1]).mean() > 0.5
