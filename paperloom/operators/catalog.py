@@ -19,40 +19,6 @@ def best_version(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
-def fuzzy_pairs(titles: DataFrame, threshold: float = 0.9, id_col: str = "doc_id", title_col: str = "title") -> DataFrame:
-    """``a, b, ratio``: pairs of distinct titles at a matching-blocks ratio of at least the threshold.
-
-    Equal titles are collapsed first. Pairs meet by length band and share of letters before the ratio is computed: both
-    bounds are lossless, as twice the common letters over all letters is at least the ratio.
-    """
-    import math
-
-    one = titles.where(F.length(title_col) > 0).groupBy(F.col(title_col).alias("t")).agg(F.min(id_col).alias("id"))
-    # a ratio r needs lengths within r / (2 - r) of each other; bands of that width meet their neighbours only
-    width = -math.log(threshold / (2 - threshold))
-    letters = F.transform(F.sequence(F.lit(0), F.lit(25)), lambda i: F.length("t") - F.length(F.replace(F.col("t"), F.char(i + 97), F.lit(""))))
-    banded = one.select("id", "t", F.length("t").alias("n"), F.floor(F.log(F.length("t").cast("double")) / width).alias("band"), letters.alias("letters"))
-    left = banded.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("n").alias("na"), F.col("letters").alias("la"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
-    right = banded.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("n").alias("nb"), F.col("letters").alias("lb"), "band")
-    apart = F.aggregate(F.zip_with("la", "lb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, v: s + v)
-    total = F.col("na") + F.col("nb")
-    near = left.join(right, "band").where((F.col("a") < F.col("b")) & (2 * F.least("na", "nb") >= threshold * total) & (total - apart >= threshold * total))
-
-    @F.pandas_udf("double")
-    def ratio(x, y):
-        import difflib
-
-        import pandas as pd
-
-        def one(p, q):
-            m = difflib.SequenceMatcher(None, p, q)
-            return m.ratio() if m.quick_ratio() >= threshold else 0.0
-
-        return pd.Series([one(p, q) for p, q in zip(x, y)])
-
-    return near.select("a", "b", F.round(ratio("ta", "tb"), 6).alias("ratio")).where(F.col("ratio") >= threshold)
-
-
 def to_index(scan: DataFrame, state: DataFrame, path: str = "path", time: str = "mtime") -> DataFrame:
     """Rows of the scan that are new, or newer than the state has recorded."""
     s = state.select(F.col(path).alias("_p"), F.col(time).alias("_t"))

@@ -15,8 +15,11 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
     """``doc_id, score``: BM25-Okapi of every document, zero scores included; ``keep`` filters after corpus statistics.
 
     Only query terms are ever counted in documents; the corpus's document frequencies, needed for the floor of
-    negative weights, are aggregated to one row.
+    negative weights, are aggregated to one row. A blank query finds nothing. This reads the whole collection; many
+    queries over one are served by ``index.KeywordIndex``.
     """
+    if not query.strip():
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
     words = tokens(F.lit(query))
     base = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col)).alias("tokens"), *([keep.alias("_keep")] if keep is not None else []))
     corpus = base.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))

@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import catalog, chunking, filters, search
+from ..operators import api, catalog, chunking, dedup, filters, search
+from ..operators.index import KeywordIndex
+from ..session import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +45,19 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 WS, NOT_WS = tx.WS, tx.NOT_WS
+_INDEXES: dict[tuple, KeywordIndex] = {}
+
+
+def index(spark: SparkSession, d: str) -> KeywordIndex:
+    """The keyword index of a folder's documents, built at the first query and again when the table has changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, d, changed)
+    if key not in _INDEXES:
+        _INDEXES[key] = KeywordIndex.build(read(spark, d, "documents"), shared_folder(spark, "keyword-index"))
+    return _INDEXES[key]
+
+
 TOKENS = f"list_filter(regexp_split_to_array(lower(text), '{WS}+'), lambda x: x <> '')"
 BM25 = f"""
 toks AS (SELECT doc_id, {TOKENS} AS t FROM documents),
@@ -73,18 +88,18 @@ def dense_scores(spark, d):
     return search.dense(read(spark, d, "embeddings"), query_vector(spark, d)).drop("query_id")
 
 
-def legs(spark, d, keep=None):
-    return search.ranked(dense_scores(spark, d), 20), search.ranked(search.bm25(documents(spark, d), QUERY, keep=keep), 20)
+def legs(spark, d, k=20):
+    return search.ranked(dense_scores(spark, d), k), search.ranked(index(spark, d).best(QUERY, k), k)
 
 
 @query(f"WITH {BM25} SELECT * FROM bm25")
 def bm25_scores(spark, d):
-    return search.bm25(documents(spark, d), QUERY)
+    return index(spark, d).all_scores(QUERY)
 
 
 @query(f"WITH {BM25} SELECT * FROM bm25 ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, d):
-    return search.top(search.bm25(documents(spark, d), QUERY), 10)
+    return index(spark, d).best(QUERY, 10)
 
 
 @query(f"WITH {DENSE} SELECT * FROM dense ORDER BY score DESC, doc_id LIMIT 10")
@@ -141,6 +156,52 @@ def hybrid_alpha(spark, d):
     return search.blend(a, b, 0.5, 10)
 
 
+BATCH = (("0", "the thing of and"), ("1", "the the und"), ("2", " "), ("3", "that"))
+_BATCH_SQL = ", ".join(f"({i}, '{q}')" for i, q in BATCH)
+BATCH_LEGS = f"""
+toks AS (SELECT doc_id, {TOKENS} AS t FROM documents),
+corpus AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM toks) GROUP BY term),
+idf0 AS (SELECT term, ln(n - df + 0.5e0) - ln(df + 0.5e0) AS idf FROM df, corpus),
+idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25e0 * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0),
+asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(string_split(q, ' ')) AS term FROM (VALUES {_BATCH_SQL}) v(query_id, q)) WHERE term <> '' GROUP BY ALL),
+tf AS (SELECT doc_id, len(t) AS dl, term, count(*) AS f FROM (SELECT doc_id, t, unnest(t) AS term FROM toks) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+sparse AS (SELECT query_id, doc_id, round(sum(times * idf * f * 2.5e0 / (f + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score FROM tf JOIN idf USING (term) JOIN asked USING (term), corpus GROUP BY ALL),
+dense AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round((1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 1, 3)),
+d20 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dense QUALIFY rank <= 20),
+s20 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sparse QUALIFY rank <= 20)"""
+
+
+def batch(spark, d):
+    vectors = read(spark, d, "embeddings").where("vec_id < 4").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return spark.createDataFrame([(int(i), q) for i, q in BATCH], "query_id long, query string").join(vectors, "query_id")
+
+
+def engine(spark, d):
+    return api.SearchEngine(documents(spark, d), read(spark, d, "embeddings"), index(spark, d))
+
+
+@query(f"""WITH {BATCH_LEGS}, f AS (SELECT query_id, doc_id, round(sum(p), 9) AS score FROM (SELECT query_id, doc_id, 0.7e0 / (60 + rank) AS p FROM d20 UNION ALL SELECT query_id, doc_id, 0.3e0 / (60 + rank) FROM s20) GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, score FROM f QUALIFY rank <= 10""")
+def search_batch(spark, d):
+    return engine(spark, d).search(batch(spark, d))
+
+
+@query(f"""WITH {BATCH_LEGS}, x AS (SELECT query_id, min(score) AS lo, max(score) AS hi FROM s20 GROUP BY 1),
+f AS (SELECT query_id, doc_id, round(sum(p), 9) AS score FROM (SELECT query_id, doc_id, score * 0.4e0 AS p FROM d20 UNION ALL SELECT query_id, doc_id, (score - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1e0 END) * 0.6e0 FROM s20 JOIN x USING (query_id)) GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, score FROM f QUALIFY rank <= 10""")
+def search_batch_alpha(spark, d):
+    return engine(spark, d).search(batch(spark, d), api.Options(alpha=0.4, use_rrf=False))
+
+
+@query(f"""WITH {BATCH_LEGS} SELECT s.query_id, (row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.doc_id))::INT AS rank, s.doc_id, s.score, lang, source, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS excerpt
+FROM sparse s JOIN documents USING (doc_id) WHERE lang = 'en' AND contains(text, 'th') QUALIFY rank <= 10""")
+def search_results(spark, d):
+    e = engine(spark, d)
+    hits = e.search(batch(spark, d), api.Options(mode="sparse", filters='{"lang": "en"}', text_filter={"$contains": "th"}))
+    return e.results(hits, ["lang", "source"])
+
+
 def _filtered(name, tree, where):
     def f(spark, d):
         return read(spark, d, "documents").where(filters.text_filter(tree, F.col("text"))).select("doc_id")
@@ -166,7 +227,7 @@ def metadata_filter(spark, d):
 FROM bm25 b JOIN documents USING (doc_id) WHERE contains(text, 'tion') ORDER BY score DESC, b.doc_id LIMIT 10""")
 def fulltext_search(spark, d):
     docs = documents(spark, d)
-    hits = search.top(search.bm25(docs, QUERY, keep=F.contains("text", F.lit("tion"))), 10)
+    hits = index(spark, d).best(QUERY, 10, docs.where(F.contains("text", F.lit("tion"))))
     return docs.join(F.broadcast(hits), "doc_id").select("doc_id", "score", tx.excerpt(F.col("text")).alias("excerpt"))
 
 
@@ -178,7 +239,7 @@ SELECT doc_id, round(sum(p), 9) AS rrf FROM parts GROUP BY doc_id ORDER BY rrf D
 def filtered_hybrid(spark, d):
     docs = documents(spark, d)
     a = search.ranked(dense_scores(spark, d).join(docs.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi"), 20)
-    b = search.ranked(search.bm25(docs, QUERY, keep=F.col("lang") == "en"), 20)
+    b = search.ranked(index(spark, d).best(QUERY, 20, docs.where("lang = 'en'")), 20)
     return search.rrf({"dense": a, "sparse": b}, 10, {"dense": 0.7, "sparse": 0.3})
 
 
@@ -187,7 +248,7 @@ def filtered_hybrid(spark, d):
 SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 10""")
 def metadata_boost(spark, d):
     docs = documents(spark, d)
-    hits = search.bm25(docs, QUERY).join(docs.select("doc_id", "title", "abstract"), "doc_id")
+    hits = index(spark, d).all_scores(QUERY).join(docs.select("doc_id", "title", "abstract"), "doc_id")
     return search.top(search.metadata_boost(hits, QUERY), 10).select("doc_id", "score")
 
 
@@ -202,7 +263,7 @@ def rerank_overlap(spark, d):
 @query(RRF.replace("<= 20", "<= 100") % ("0.7e0", "0.3e0") + f", c AS (SELECT doc_id, rrf FROM fused ORDER BY rrf DESC, doc_id LIMIT 50) SELECT doc_id, coalesce({OVERLAP}, 0e0) AS score FROM c LEFT JOIN documents USING (doc_id) ORDER BY score DESC, doc_id LIMIT 10")
 def search_with_rerank(spark, d):
     docs = documents(spark, d)
-    a, b = search.ranked(dense_scores(spark, d), 100), search.ranked(search.bm25(docs, QUERY), 100)
+    a, b = legs(spark, d, 100)
     best = search.rrf({"dense": a, "sparse": b}, 50, {"dense": 0.7, "sparse": 0.3})
     scored = docs.join(F.broadcast(best.select("doc_id")), "doc_id").select("doc_id", search.overlap_score(F.col("text"), QUERY).alias("s"))
     return search.top(best.select("doc_id").join(scored, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit(0.0)).alias("score")), 10)
@@ -355,7 +416,36 @@ def best_version(spark, d):
 @query(None)
 def fuzzy_title_pairs(spark, d):
     titles = documents(spark, d).select("doc_id", tx.normalized_title(F.col("title")).alias("title"))
-    return catalog.fuzzy_pairs(titles)
+    return dedup.fuzzy_pairs(titles)
+
+
+def records(spark, d):
+    """Documents as records: a DOI that some share, a publication, a year and full text made of their columns."""
+    doi = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("10.1234/"), (F.col("doc_id") % 35).cast("string")))
+    return documents(spark, d).select("doc_id", "title", "abstract", doi.alias("doi"), F.when(F.col("lang") == "en", F.col("source")).alias("publication"), (2000 + F.col("doc_id") % 20).cast("int").alias("year"), (F.col("n_chars") > 1000).alias("has_fulltext"))
+
+
+DOIS = "CASE WHEN doc_id % 5 = 0 THEN '10.1234/' || (doc_id % 35) END"
+
+
+@query(f"SELECT doi, array_to_string(list_sort(list(doc_id)), ',') AS ids, count(*) AS n FROM (SELECT doc_id, {DOIS} AS doi FROM documents) WHERE doi IS NOT NULL GROUP BY doi HAVING count(*) > 1")
+def doi_groups(spark, d):
+    return dedup.doi_groups(records(spark, d)).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+@query(None)
+def dedup_documents(spark, d):
+    """Winners and duplicates by DOI and similar titles; titles over 300 characters stand for no title."""
+    docs = records(spark, d).withColumn("title", F.when(F.length("title") <= 300, F.col("title")))
+    unique, lost = dedup.deduplicate(docs)
+    return unique.select("doc_id", F.lit(None).cast("long").alias("winner"), F.lit("kept").alias("reason")).unionByName(lost.withColumnRenamed("id", "doc_id"))
+
+
+@query(f"""WITH r AS (SELECT doc_id, {DOIS} AS doi, CASE WHEN lang = 'en' THEN source END AS publication, n_chars > 1000 AS ft, 2000 + doc_id % 20 AS y, length(substr(text, 61, 300)) AS la FROM documents)
+SELECT doi, doc_id FROM r WHERE doi IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doi ORDER BY publication IS NOT NULL AND publication <> '' DESC, ft DESC, y DESC, la DESC, doc_id) = 1""")
+def best_version_by_criteria(spark, d):
+    docs = records(spark, d).where("doi IS NOT NULL")
+    return catalog.best_version(docs, "doi", [*dedup.priority(docs.columns), "doc_id"]).select("doi", "doc_id")
 
 
 def _events(spark, d):
@@ -409,7 +499,7 @@ kept AS (SELECT row_number() OVER (ORDER BY rank)::INT AS label, doc_id, passage
 
 def _packed(spark, d):
     docs = documents(spark, d)
-    hits = search.ranked(search.bm25(docs, QUERY), 5)
+    hits = search.ranked(index(spark, d).best(QUERY, 5), 5)
     return catalog.pack_context(docs.select("doc_id", "text").join(F.broadcast(hits), "doc_id"), 2500, 1000).select("label", "doc_id", "passage")
 
 

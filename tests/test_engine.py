@@ -2,13 +2,16 @@
 
 import difflib
 import os
+import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
-from paperloom.operators import catalog, chunking, filters, search
+from paperloom.operators import api, chunking, dedup, filters, search
+from paperloom.operators.index import KeywordIndex
 from paperloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -76,7 +79,7 @@ def test_recursive_splitter_keeps_limits_and_text():
 def test_fuzzy_pairs_match_difflib(spark):
     titles = ["deep learning for glaciers", "deep learning for glacier", "deep learning of glaciers", "other thing", "other things", ""]
     df = spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string")
-    got = {(r["a"], r["b"]) for r in catalog.fuzzy_pairs(df).collect()}
+    got = {(r["a"], r["b"]) for r in dedup.fuzzy_pairs(df).collect()}
     want = {(i, j) for i in range(5) for j in range(i + 1, 5) if difflib.SequenceMatcher(None, titles[i], titles[j]).ratio() >= 0.9}
     assert got == want
 
@@ -103,3 +106,62 @@ def test_filters(spark):
     assert [r["i"] for r in df.where(filters.text_filter(tree, F.col("text"))).collect()] == [1]
     with pytest.raises(ValueError):
         filters.text_filter({"$no": 1}, F.col("text"))
+
+
+def test_fuzzy_pairs_over_many_blocks(spark):
+    r = random.Random(4)
+    base = ["".join(r.choices("abcdefgh ", k=r.randint(8, 60))).strip() for _ in range(40)]
+    titles = sorted({*base, *("".join(c for c in t if r.random() > 0.05) for t in base for _ in range(3))} - {""})
+    df = spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string")
+    want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if difflib.SequenceMatcher(None, titles[i], titles[j]).ratio() >= 0.9}
+    for block in (512, 7):
+        got = [(r["a"], r["b"]) for r in dedup.fuzzy_pairs(df, block=block).collect()]
+        assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_deduplicate_by_doi_and_title(spark):
+    rows = [
+        (1, "Glacier albedo feedback", "10.1/a", None, False, 2001, "x", 1), (2, "Something else", "10.1/a", "Nature", False, 1999, None, 1),
+        (3, "The glacier, albedo feedback!", None, None, True, 2001, "x", 1), (4, "Another paper on soot", "", "J", True, 2000, "long abstract", 1),
+        (5, "Another paper on soots", None, "J", True, 2000, "short", 2), (6, None, None, None, False, None, None, 1), (7, "", "", None, False, None, None, 1),
+        # a chain: the ends are not similar to each other
+        (10, "a" * 20 + "b" * 20, None, None, False, 2000, "", 1), (11, "a" * 20 + "b" * 24, None, None, False, 2001, "", 1), (12, "a" * 20 + "b" * 29, None, None, False, 2000, "", 1),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, title string, doi string, publication string, has_fulltext boolean, year int, abstract string, mtime long")
+    unique, lost = dedup.deduplicate(df)
+    assert {r["doc_id"] for r in unique.collect()} == {2, 4, 6, 7, 11} and unique.columns == df.columns
+    assert {tuple(r) for r in lost.collect()} == {(1, 2, "doi"), (3, 2, "title"), (5, 4, "title"), (10, 11, "title"), (12, 11, "title")}
+    assert {(r["doi"], tuple(r["ids"])) for r in dedup.doi_groups(df).collect()} == {("10.1/a", (1, 2))}
+    assert {tuple(r["ids"]) for r in dedup.title_groups(df).collect()} == {(1, 3), (4, 5), (10, 11, 12)}
+    assert dedup.deduplicate(df.limit(0))[0].count() == 0
+
+
+def test_keyword_index(spark, tmp_path):
+    rows = [(1, "a b the"), (2, "b c c the"), (3, ""), (4, None), (5, "the the the d e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = KeywordIndex.build(df, str(tmp_path / "index"), buckets=8)
+    for q in ("c zz c", "the b", "d", "e"):
+        want = {r["doc_id"]: r["score"] for r in search.bm25(df.fillna(""), q).collect()}
+        assert {r["doc_id"]: r["score"] for r in index.all_scores(q).collect()} == want
+        assert [r["doc_id"] for r in index.best(q, 4).collect()] == sorted(want, key=lambda i: (-want[i], i))[:4]
+    assert index.best(" ", 3).count() == 0 and search.bm25(df, " ").count() == 0
+    asked = index.scores(index.one("c"))
+    assert {r["doc_id"] for r in asked.collect()} == {2}
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+    assert index.append(spark.createDataFrame([(2, "again"), (6, "c new")], "doc_id long, text string")) == 1
+    both = spark.createDataFrame([*((i, t or "") for i, t in rows), (6, "c new")], "doc_id long, text string")
+    assert {r["doc_id"]: r["score"] for r in index.all_scores("c the").collect()} == {r["doc_id"]: r["score"] for r in search.bm25(both, "c the").collect()}
+    empty = KeywordIndex.build(df.limit(0), str(tmp_path / "none"))
+    assert empty.best("a", 3).count() == 0
+
+
+def test_search_options_and_pages(spark):
+    for wrong in ({"top_k": 0}, {"alpha": 2.0}, {"filters": "{"}, {"filters": "[1]"}):
+        with pytest.raises(ValueError):
+            api.Options(**wrong)
+    assert api.Options(filters=" ").filters is None and api.Options(filters='{"a": 1}').filters == {"a": 1}
+    rows, info = api.page(spark.range(7), ["id"], limit=3, offset=5)
+    assert [r["id"] for r in rows.collect()] == [5, 6] and info == {"total_results": 7, "offset": 5, "limit": 3, "returned": 2, "has_more": False}
+    assert api.page(spark.range(7), ["id"], limit=0, offset=-1)[1] == {"total_results": 7, "offset": 0, "limit": 1, "returned": 1, "has_more": True}
+    assert [api.passage_limit(*x) for x in ((0, 3), (4000, 3), (100, 3), (9000, 2))] == [1500, 1333, 256, 1500]
