@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, nonempty, strip
+from ..functions.text import WS, nonempty, strip, tokens
 
 SECTIONS = "(?i)abstract|introduction|method|results|discussion|conclusion|references"
 
@@ -41,59 +42,130 @@ def count_tokens(text: str) -> int:
     return int(len(text.split()) * 1.3)
 
 
-def pack(parts: list[str], limit: int, joint: str, length=count_tokens) -> list[str]:
-    """Join parts greedily while they fit; a part over the limit stays alone."""
+def count_words(text: str) -> int:
+    return len(text.split())
+
+
+def tokens_of(words: int) -> int:
+    """The token count of so many words; sums of words are exact where sums of token counts would round."""
+    return int(words * 1.3)
+
+
+def pack(parts: list[str], limit: int, joint: str) -> list[str]:
+    """Join parts greedily while they fit; a part over the limit stays alone. Joints are white space, so words add up."""
     out: list[str] = []
     held: list[str] = []
+    words = 0
     for p in parts:
-        if held and length(joint.join([*held, p])) > limit:
+        n = count_words(p)
+        if held and tokens_of(words + n) > limit:
             out.append(joint.join(held))
-            held = []
+            held, words = [], 0
         held.append(p)
+        words += n
     return out + ([joint.join(held)] if held else [])
 
 
-def split_recursively(text: str, limit: int, overlap: int = 0, length=count_tokens, separators=("\n\n", "\n", ". ", " ")) -> list[str]:
+def split_recursively(text: str, limit: int, overlap: int = 0, separators=("\n\n", "\n", ". ", " ")) -> list[str]:
     """Split at the coarsest separator that helps, pack what fits, and repeat with finer ones for what doesn't."""
     text = text.strip()
     if not text:
         return []
-    if length(text) <= limit or not separators:
+    if count_tokens(text) <= limit or not separators:
         return [text]
     sep, *finer = separators
-    pieces = [y for x in re.split(f"(?<={re.escape(sep)})", text) for y in (split_recursively(x, limit, overlap, length, finer) if length(x) > limit else [x.strip()]) if y]
+    pieces = [y for x in re.split(f"(?<={re.escape(sep)})", text) for y in (split_recursively(x, limit, overlap, finer) if count_tokens(x) > limit else [x.strip()]) if y]
     out: list[str] = []
-    held: list[str] = []
+    held: deque[tuple[str, int]] = deque()
+    words = 0
     joint = sep if sep != ". " else " "
     for p in pieces:
-        if held and length(joint.join([*held, p])) > limit:
-            out.append(joint.join(held))
-            while held and (length(joint.join(held)) > overlap or length(joint.join([*held, p])) > limit):
-                held.pop(0)
-        held.append(p)
-    return out + ([joint.join(held)] if held else [])
+        n = count_words(p)
+        if held and tokens_of(words + n) > limit:
+            out.append(joint.join(x for x, _ in held))
+            # the end of the last chunk, up to the overlap, begins the next one
+            while held and (tokens_of(words) > overlap or tokens_of(words + n) > limit):
+                words -= held.popleft()[1]
+        held.append((p, n))
+        words += n
+    return out + ([joint.join(x for x, _ in held)] if held else [])
+
+
+def split_sentences(text: str, limit: int) -> list[str]:
+    """Sentences packed greedily; words are packed where a sentence is longer."""
+    parts = [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if p]
+    return pack([y for x in parts for y in (pack(x.split(), limit, " ") if count_tokens(x) > limit else [x])], limit, " ")
+
+
+def split_paragraphs(text: str, limit: int) -> list[str]:
+    """Paragraphs packed greedily with an empty line between; one over the limit is split into sentences."""
+    out: list[str] = []
+    held: list[str] = []
+    for p in (x.strip() for x in text.split("\n\n")):
+        if p and count_tokens(p) > limit:
+            out += pack(held, limit, "\n\n") + split_sentences(p, limit)
+            held = []
+        elif p:
+            held.append(p)
+    return out + pack(held, limit, "\n\n")
 
 
 def recursive(docs: DataFrame, limit: int = 512, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunks of at most ``limit`` tokens by the recursive splitter, numbered in their document."""
+    return _split_rows(docs, lambda t: split_recursively(t, limit, overlap), id_col, text_col)
 
+
+def _split_rows(docs: DataFrame, fn, id_col: str, text_col: str) -> DataFrame:
     @F.pandas_udf("array<string>")
     def split(s):
-        return s.map(lambda t: split_recursively(t or "", limit, overlap))
+        return s.map(lambda t: fn(t or ""))
 
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(split(F.col(text_col))).alias("chunk_index", "text"))
 
 
 def sentences(docs: DataFrame, limit: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sentences packed greedily to at most ``limit`` tokens; words are packed where a sentence is longer."""
+    return _split_rows(docs, lambda t: split_sentences(t, limit), id_col, text_col)
+
+
+def paragraphs(docs: DataFrame, limit: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Paragraphs packed greedily to at most ``limit`` tokens, longer ones by sentences."""
+    return _split_rows(docs, lambda t: split_paragraphs(t, limit), id_col, text_col)
+
+
+def sized(chunks: DataFrame, limit: int = 1000) -> DataFrame:
+    """Chunks (``doc_id, chunk_num, section, text``) with those over the limit split by paragraphs, numbered anew."""
 
     @F.pandas_udf("array<string>")
     def split(s):
-        def one(t):
-            parts = [p for p in re.split(r"(?<=[.!?])\s+", (t or "").strip()) if p]
-            return pack([y for x in parts for y in (pack(x.split(), limit, " ") if count_tokens(x) > limit else [x])], limit, " ")
+        return s.map(lambda t: split_paragraphs(t, limit) if count_tokens(t) > limit else [t])
 
-        return s.map(one)
+    # only long chunks go through Python
+    long = F.size(tokens(F.col("text"))) * 1.3 >= limit + 1
+    parts = chunks.where(long).select("doc_id", "chunk_num", "section", F.posexplode(split("text")).alias("part", "text"))
+    rows = parts.unionByName(chunks.where(~long).select("doc_id", "chunk_num", "section", F.lit(0).alias("part"), "text"))
+    order = W.partitionBy("doc_id").orderBy("chunk_num", "part")
+    return rows.select("doc_id", (F.row_number().over(order) - 1).alias("chunk_num"), "section", "text")
+
+
+def document_chunks(docs: DataFrame, columns: list[str], limit: int = 512, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Chunks of each document's text with its columns, ids of three digits or more, and how many chunks it has."""
+
+    @F.pandas_udf("array<string>")
+    def split(s):
+        return s.map(lambda t: split_recursively(t or "", limit, overlap))
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), *columns, split(F.col(text_col)).alias("_parts"))
+    parts = rows.select("doc_id", *columns, F.size("_parts").alias("total_chunks"), F.posexplode("_parts").alias("chunk_index", "text"))
+    return parts.select("doc_id", F.format_string("%s_%03d", F.col("doc_id").cast("string"), "chunk_index").alias("chunk_id"), "chunk_index", "total_chunks", (F.col("chunk_index") > 0).alias("has_overlap"), *columns, "text")
+
+
+def image_chunks(docs: DataFrame, columns: list[str], per_document: int = 3, id_col: str = "doc_id", text_col: str = "text", images_col: str = "images") -> DataFrame:
+    """The first images (structs of ``page`` from 0, ``uri``) of each document as chunks with the document's short text."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *columns, F.col(text_col).alias("text"), F.posexplode(F.slice(images_col, 1, per_document)).alias("chunk_index", "_image"))
+    return rows.select("doc_id", F.format_string("%s_mm_%d", F.col("doc_id").cast("string"), "chunk_index").alias("chunk_id"), "chunk_index", *columns, "text", (F.col("_image.page") + 1).alias("image_page"), F.col("_image.uri").alias("image"), F.lit(True).alias("is_multimodal"))
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(split(F.col(text_col))).alias("chunk_index", "text"))
 
+def all_chunks(text_chunks: DataFrame, images: DataFrame) -> DataFrame:
+    """Text and image chunks together; columns that one kind lacks are null."""
+    return text_chunks.withColumn("is_multimodal", F.lit(False)).unionByName(images, allowMissingColumns=True)

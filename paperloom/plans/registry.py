@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import extract
 from ..functions import text as tx
 from ..operators import api, catalog, chunking, dedup, filters, search
 from ..operators.index import KeywordIndex
@@ -338,11 +339,51 @@ _projected("tags", lambda: F.array_join(tx.tags(F.col("text"), TAGS), ","), "arr
 _projected("instruments", lambda: F.array_join(tx.instruments(F.col("text"), INSTRUMENTS), ","), f"array_to_string(list_filter([CASE WHEN regexp_matches(text, '{EDGE}The{EDGE_AFTER}') THEN 'alpha' END, CASE WHEN regexp_matches(text, '{EDGE}[A-Z]nd{EDGE_AFTER}') THEN 'beta' END], lambda x: x IS NOT NULL), ',')")
 _projected("extract_authors", lambda: F.array_join(tx.author_list(F.col("title")), "|"), None)
 _projected("extract_title", lambda: tx.pdf_title(F.col("text")), None)
-_projected("extract_doi", lambda: tx.doi(F.concat(F.lit("doi: 10.1234/x"), F.col("doc_id").cast("string"), F.lit("."))), "'10.1234/x' || doc_id")
+# every third text begins with a DOI; the others may hold one of their own, which the same patterns find
+_projected("extract_doi", lambda: tx.doi(F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("doi: 10.1234/x"), F.col("doc_id").cast("string"), F.lit(".\n"))).otherwise(""), F.col("text"))), "CASE WHEN doc_id % 3 = 0 THEN '10.1234/x' || doc_id ELSE regexp_replace(nullif(regexp_extract(substr(text, 1, 2000), '(^|[^0-9A-Za-z_])(10[.][0-9]{4,}/[^ \t\n]+)', 2), ''), '[.,;)\\]]+$', '') END")
 _projected("pdf_date_year", lambda: tx.pdf_date_year(F.concat(F.lit("D:"), F.year("o_orderdate").cast("string"), F.lit("0101"))), "year(o_orderdate)::INT", "orders", "o_orderkey")
 _projected("embedding_text", lambda: F.concat_ws("\n\n", F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Keywords: "), F.array_join(F.sort_array(F.array_union(F.array("lang", "source"), F.array("lang"))), ", ")), F.concat(F.lit("Content: "), "text")), f"'Title: ' || {TITLE} || chr(10) || chr(10) || 'Keywords: ' || array_to_string(list_sort(list_distinct([lang, source])), ', ') || chr(10) || chr(10) || 'Content: ' || text")
 
 
+# The tables' texts have no such lines, so a heading made of their columns stands before each.
+HEAD = "'Authors: ' || source || ' and ' || lang || chr(10) || 'Journal: Journal of ' || source || ' Studies, vol. 1' || chr(10) || 'Year: ' || (1940 + doc_id % 120) || chr(10) || 'Abstract' || chr(10) || 'On ' || source || ' and the many things that were found there, in ' || lang || ' or not.' || chr(10) || 'Keywords: ' || lang || '; ' || source || ';; a b' || chr(10) || '1. Introduction' || chr(10)"
+
+
+def headed(spark, d):
+    return read(spark, d, "documents").select("doc_id", "source", "lang", F.expr(f"{HEAD.replace('chr(10)', 'char(10)')} || text").alias("text"))
+
+
+def _extracted(name, column, sql):
+    def f(spark, d):
+        return headed(spark, d).select("doc_id", column(F.col("text")).alias("v"))
+
+    f.__name__ = name
+    query(f"SELECT doc_id, {sql} AS v FROM documents")(f)
+
+
+_extracted("page_authors", lambda c: F.array_join(extract.page_authors(c), "|"), "source || '|' || lang")
+_extracted("extract_journal", extract.page_journal, "'Journal of ' || source || ' Studies'")
+_extracted("extract_abstract", extract.page_abstract, "CASE WHEN length('On ' || source || ' and the many things that were found there, in ' || lang || ' or not.') > 50 THEN 'On ' || source || ' and the many things that were found there, in ' || lang || ' or not.' END")
+_extracted("extract_keywords", lambda c: F.array_join(extract.page_keywords(c), "|"), "lang || '|' || source || '|a b'")
+_extracted("markdown_year", lambda c: extract.markdown_year(c, F.lit("x/y.md")), "CASE WHEN 1940 + doc_id % 120 BETWEEN 1950 AND 2050 THEN (1940 + doc_id % 120)::INT END")
+_extracted("markdown_authors", lambda c: F.array_join(extract.markdown_authors(c), "|"), "source || ' and ' || lang")
+_extracted("markdown_journal", extract.markdown_journal, "'Journal of ' || source || ' Studies, vol. 1'")
+_projected("validate_doi", lambda: tx.valid_doi(F.concat(F.lit("10."), (F.col("doc_id") * 37).cast("string"), F.lit("/"), F.col("lang"))), "CASE WHEN length((doc_id * 37)::VARCHAR) >= 4 THEN '10.' || (doc_id * 37) || '/' || lang END")
+_projected("parse_authors", lambda: F.array_join(tx.pdf_authors(F.concat_ws(" and ", "source", "lang")), "|"), "source || '|' || lang")
+
+
+@query("SELECT doc_id, 'Title: ' || lang || chr(10) || chr(10) || 'Authors: ' || source || '; ' || lang || chr(10) || chr(10) || 'Published in: ' || source || ' (' || (2000 + doc_id % 9) || ')' || chr(10) || chr(10) || 'Keywords: ' || array_to_string(list_sort(list_distinct([lang, source, 'x'])), ', ') || chr(10) || chr(10) || 'Content: ' || text AS v FROM documents WHERE text <> ''")
+def embedding_text_of_records(spark, d):
+    f = {"title": F.col("lang"), "authors": F.array("source", "lang"), "abstract": F.lit(""), "publication": F.col("source"), "year": 2000 + F.col("doc_id") % 9, "keywords": F.array("lang", "source"), "tags": F.array(F.lit("x"), F.col("lang"))}
+    return read(spark, d, "documents").where("text <> ''").select("doc_id", extract.embedding_text(f, F.col("text")).alias("v"))
+
+
+@query("SELECT doc_id::VARCHAR AS item_key, '' AS filename, '' AS file_type, coalesce(nullif(split_part(text, chr(10), 1), ''), 'Unknown') AS title, lang || ', ' || source AS authors, CASE WHEN doc_id % 3 = 0 THEN 'Unknown' ELSE (2000 + doc_id % 20)::VARCHAR END AS year, '' AS doi, '' AS citation_key, source AS publication, substr(text, 61, 300) AS abstract, '' AS keywords, '' AS tags, '' AS collections, CASE WHEN n_chars > 1000 THEN 'True' ELSE 'False' END AS has_fulltext, '' AS fulltext_source, 'False' AS is_scanned, n_chars::VARCHAR AS page_count, '' AS date_added, '2024-01-02T03:04:05' AS date_modified FROM documents")
+def metadata_strings(spark, d):
+    rows = documents(spark, d).select(F.col("doc_id").alias("item_key"), "title", F.array("lang", "source").alias("authors"), F.when(F.col("doc_id") % 3 != 0, 2000 + F.col("doc_id") % 20).alias("year"), F.col("source").alias("publication"), "abstract", (F.col("n_chars") > 1000).alias("has_fulltext"), F.col("n_chars").alias("page_count"), F.lit("2024-01-02 03:04:05").cast("timestamp").alias("date_modified"))
+    return rows.select(extract.metadata_strings(dict(rows.dtypes), {c: F.col(c) for c in rows.columns}))
+
+
 @query("SELECT doc_id, coalesce(nullif(split_part(text, chr(10), 1), ''), 'Unknown') AS title, coalesce(source, 'Unknown') AS authors, 'Unknown' AS year, coalesce(lang, '') AS language, CASE WHEN n_chars > 1000 THEN 'True' ELSE 'False' END AS has_fulltext FROM documents")
 def metadata_projection(spark, d):
     return documents(spark, d).select("doc_id", F.coalesce(tx.nonempty(F.col("title")), F.lit("Unknown")).alias("title"), F.coalesce("source", F.lit("Unknown")).alias("authors"), F.lit("Unknown").alias("year"), F.coalesce("lang", F.lit("")).alias("language"), F.when(F.col("n_chars") > 1000, "True").otherwise("False").alias("has_fulltext"))
@@ -380,9 +421,32 @@ def packed_sentences(spark, d):
     return chunking.sentences(read(spark, d, "documents"))
 
 
+@query(None)
+def packed_paragraphs(spark, d):
+    return chunking.paragraphs(read(spark, d, "documents"), 200)
+
+
+@query(None)
+def document_chunks(spark, d):
+    return chunking.document_chunks(read(spark, d, "documents"), ["lang", "source"])
+
+
+@query("SELECT doc_id, doc_id || '_mm_' || i AS chunk_id, i::INT AS chunk_index, lang AS text, (i * 2 + 1)::INT AS image_page, 'uri' || i AS image, TRUE AS is_multimodal FROM documents, (SELECT unnest(range(3)) AS i) WHERE i < doc_id % 5")
+def multimodal_chunks(spark, d):
+    images = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct((i * 2).cast("int").alias("page"), F.concat(F.lit("uri"), i.cast("string")).alias("uri")))
+    docs = read(spark, d, "documents").select("doc_id", F.col("lang").alias("text"), F.slice(images, F.lit(1), (F.col("doc_id") % 5).cast("int")).alias("images"))
+    return chunking.image_chunks(docs, [])
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT source) AS documents, round(count(*) / count(DISTINCT source)::DOUBLE, 1) AS mean FROM documents")
+def chunk_stats(spark, d):
+    n, k = F.count("*"), F.countDistinct("source")
+    return read(spark, d, "documents").agg(n.alias("chunks"), k.alias("documents"), F.round(n / k, 1).alias("mean"))
+
+
 @query(None)
 def markdown_chunks(spark, d):
-    return chunking.markdown(read(spark, d, "documents").withColumn("text", F.concat(F.lit("# "), F.col("text"))))
+    return chunking.sized(chunking.markdown(read(spark, d, "documents").withColumn("text", F.concat(F.lit("# "), F.col("text")))), 200)
 
 
 @query(f"""WITH t AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents),

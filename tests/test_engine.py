@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import extract
 from paperloom.functions import text as tx
 from paperloom.operators import api, chunking, dedup, filters, search
 from paperloom.operators.index import KeywordIndex
@@ -76,6 +77,46 @@ def test_recursive_splitter_keeps_limits_and_text():
     assert chunking.split_recursively("  ", 10) == []
 
 
+def test_paragraph_and_sentence_packers(spark):
+    long = " ".join(f"s{i} a b c d e f g." for i in range(60))
+    text = "one two\n\n\n\nthree four\n\n" + long + "\n\nlast"
+    parts = chunking.split_paragraphs(text, 20)
+    assert parts[0] == "one two\n\nthree four" and parts[-1] == "last" and all(chunking.count_tokens(p) <= 20 for p in parts)
+    assert " ".join(parts).split() == text.split()
+    assert chunking.split_sentences("x " * 100, 13) == ["x " * 9 + "x"] * 10 and chunking.split_paragraphs("", 5) == []
+    df = spark.createDataFrame([(1, "# A\n" + long + "\n## B\nshort"), (2, None)], "doc_id long, text string")
+    got = chunking.sized(chunking.markdown(df), 40).orderBy("doc_id", "chunk_num").collect()
+    assert [r["chunk_num"] for r in got] == list(range(len(got))) and {r["section"] for r in got} == {"A", "B"} and len(got) > 5
+    chunks = chunking.document_chunks(df, [], 100, 10)
+    images = chunking.image_chunks(spark.createDataFrame([(1, "t", [(0, "u")])], "doc_id long, text string, images array<struct<page int, uri string>>"), [])
+    rows = chunking.all_chunks(chunks, images).collect()
+    assert {r["chunk_id"] for r in rows if r["is_multimodal"]} == {"1_mm_0"} and {r["total_chunks"] for r in rows if not r["is_multimodal"]} == {chunks.count()}
+
+
+@pytest.mark.parametrize(("f", "given", "expected"), [
+    (extract.page_authors, "Title\nAuthor: Ann Bee, Cy Dee\nx", ["Ann Bee", "Cy Dee"]),
+    (extract.page_authors, "Title\nBy Ann Bee and Cy Dee\n", ["Ann Bee", "Cy Dee"]),
+    (extract.page_authors, "Title\nAnn Bee and Cy Dee\n", ["Ann Bee", "Cy Dee"]),
+    (extract.page_authors, "nothing here", []),
+    (extract.page_journal, "Journal: Short\nPublished in Journal of Glaciology, 2020", "Journal of Glaciology"),
+    (extract.page_abstract, "T\nAbstract\nThis is an abstract that goes on for\n more than fifty characters.\nIntroduction\nx", "This is an abstract that goes on for more than fifty characters."),
+    (extract.page_abstract, "Abstract\ntoo short\nIntroduction", None),
+    (extract.page_abstract, "Abstract\n" + "abcd " * 300 + "\n1. x", "abcd " * 199 + "abcd..."),
+    (extract.page_keywords, "Keywords: ice, snow;\nalbedo\n1. Introduction", ["ice, snow", "albedo"]),
+    (extract.page_keywords, "Key words: ice to snow\nIntroduction", ["ice", "snow"]),
+    (extract.native_keywords, "a; b,c ,", ["a", "b", "c"]),
+    (extract.markdown_authors, "# T\n**Authors:** Ann Bee, Cy Dee et al.\n", ["Ann Bee", "Cy Dee"]),
+    (extract.markdown_doi, "**DOI:** https://doi.org/10.1/a(b)", "https://doi.org/10.1/a(b)"),
+    (lambda c: extract.markdown_year(c, F.lit("2011/paper_1999.md")), "no date", 1999),
+    (lambda c: extract.markdown_year(c, F.lit("x")), "Published: May 2003", 2003),
+    (tx.tokens, "A\u00a0b\u2003C\x1cd", ["a", "b", "c", "d"]),
+    (lambda c: tx.instruments(c, {"m": r"\bMERIS\b"}), "äMERIS MERIS.", ["m"]),
+    (lambda c: tx.instruments(c, {"m": r"\bMERIS\b"}), "äMERIS MERISé", []),
+])
+def test_extraction(spark, f, given, expected):
+    assert one(spark, f(F.col("c")), given) == expected
+
+
 def test_fuzzy_pairs_match_difflib(spark):
     titles = ["deep learning for glaciers", "deep learning for glacier", "deep learning of glaciers", "other thing", "other things", ""]
     df = spark.createDataFrame(list(enumerate(titles)), "doc_id long, title string")
