@@ -62,6 +62,7 @@ def fuzzy_pairs(titles: DataFrame, threshold: float = 0.9, id_col: str = "doc_id
     import math
 
     one = titles.where(F.length(title_col) > 0).groupBy(F.col(title_col).alias("t")).agg(F.min(id_col).alias("id"))
+    kind = dict(one.dtypes)["id"]
     # a ratio r needs lengths within r / (2 - r) of each other; bands of that width meet their neighbours only
     width = -math.log(threshold / (2 - threshold))
     banded = saved(one.select("id", "t", F.floor(F.log(F.length("t").cast("double")) / width).cast("int").alias("band")))
@@ -102,7 +103,7 @@ def fuzzy_pairs(titles: DataFrame, threshold: float = 0.9, id_col: str = "doc_id
         return pd.DataFrame(found, columns=["a", "b", "ratio"])
 
     flat = meeting.select("band", F.col("at.p").alias("p"), F.col("at.q").alias("q"), "id", "t", "own", "high")
-    return flat.groupBy("band", "p", "q").applyInPandas(compare, "a long, b long, ratio double")
+    return flat.groupBy("band", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}, ratio double")
 
 
 def doi_groups(docs: DataFrame, id_col: str = "doc_id", doi_col: str = "doi") -> DataFrame:

@@ -1,9 +1,13 @@
 """File sources, stored collections and streaming ingest on small fixtures."""
 
 import os
+import sys
 
+import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from paperloom.operators import embedding, workflow
 from paperloom.sources import collections, files
 from paperloom.streaming import ingest
 
@@ -80,3 +84,109 @@ def test_ingest(spark, tmp_path):
         assert query.exception() is None and c.read().count() == n
         put(root, "b/2.md", b"# Two")
     assert {r.text for r in c.read().collect()} == {"# One", "# Two"}
+
+
+def test_ingest_under_a_new_checkpoint(spark, tmp_path):
+    root, store = tmp_path / "library", collections.Store(spark, str(tmp_path / "store"))
+    c = store.get_or_create("files", "path string, mtime timestamp, text string", "path")
+    for n, name in enumerate(("one", "two")):
+        put(root, "a/1.md", name.encode())
+        put(root, f"a/{n + 5}.md", b"other")
+        query = ingest.ingest(files.library_stream(spark, str(root)), c, str(tmp_path / f"checkpoint{n}"), "mtime", ingest.documents)
+        query.awaitTermination(60)
+        assert query.exception() is None
+        assert {r.text for r in c.read().where("path like '%/1.md'").collect()} == {name}
+
+
+# workers can't import this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class Flaky:
+    """Fails at first; gives each text's length."""
+
+    def __init__(self, failures):
+        self.failures = failures
+
+    def encode(self, texts):
+        import numpy as np
+
+        self.failures -= 1
+        if self.failures >= 0:
+            raise OSError("busy")
+        return np.array([[float(len(t))] for t in texts])
+
+
+def test_models(spark, monkeypatch):
+    waits = []
+    assert embedding.with_retries(Flaky(2).encode, ["abc"], sleep=waits.append)[0][0] == 3 and waits == [1.0, 2.0]
+    assert embedding.query_vector(Flaky(1), "x") == [] and embedding.query_vector(Flaky(0), "x") == [1.0]
+    monkeypatch.delenv("NO_SUCH_KEY", raising=False)
+    makers = {"far": ("NO_SUCH_KEY", lambda: 1), "near": (None, lambda: 2)}
+    assert embedding.choose(makers) == 2
+    for f in (lambda: embedding.choose(makers, "far"), lambda: embedding.choose({"far": makers["far"]})):
+        with pytest.raises(ValueError):
+            f()
+    df = spark.createDataFrame([(i, 0, "w" * i if i % 4 else None, i % 2 == 0) for i in range(9)], "doc_id long, chunk_index int, text string, mm boolean").coalesce(1)
+    got = df.select("doc_id", embedding.embed(F.col("text"), Flaky(0)).alias("v"), embedding.routed(F.col("text"), F.col("mm"), Flaky(0), embedding.HashEmbedder(8)).alias("r")).collect()
+    assert [r.v for r in got] == [[float(i)] if i % 4 else None for i in range(9)]
+    assert [len(r.r) if r.r else None for r in got] == [None if not i % 4 else 8 if i % 2 == 0 else 1 for i in range(9)]
+    groups = embedding.embed_groups(df, embedding.HashEmbedder(8)).collect()
+    assert sorted(r.doc_id for r in groups) == list(range(9)) and all(len(r.vector) == 8 for r in groups)
+    pairs = spark.createDataFrame([(0, "a b", 1, 0.1, "a"), (0, "a b", 2, 0.2, "b a"), (0, "a b", 3, 0.3, None)], "query_id long, query string, doc_id long, score double, text string").coalesce(1)
+    assert [r.doc_id for r in embedding.rerank(pairs, embedding.OverlapScorer(), 2).orderBy("rank").collect()] == [2, 1]
+    assert [r.doc_id for r in embedding.rerank(pairs, Flaky(0), 3).orderBy("rank").collect()] == [3, 2, 1]
+
+
+def test_vector_index_recall(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(7)
+    vectors = r.normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    index = embedding.VectorIndex.build(df, str(tmp_path / "vectors"), sample=1000)
+    assert index.spark.read.parquet(index.folder + "/vectors").count() == 3000
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    asked = [(i, vectors[i].tolist()) for i in range(0, 3000, 100)]
+    found = {}
+    for row in index.search(asked, 10, probes=16).collect():
+        found.setdefault(row.query_id, set()).add(row.doc_id)
+    hits = sum(len(found[i] & set(np.argsort(-(unit @ unit[i]))[:10].tolist())) for i, _ in asked)
+    assert hits >= 0.9 * 10 * len(asked) and all(len(x) == 10 for x in found.values())
+
+
+PAPER = "# {title}\n\n**Authors:** Ann Bee, Cy Dee\n**DOI:** https://doi.org/10.1/{doi}\nPublished: 2019\n\n## Abstract\n\nOn ice.\n\n## Introduction\n\n{body}\n"
+
+
+def test_index_library(spark, tmp_path):
+    root, store = tmp_path / "library", collections.Store(spark, str(tmp_path / "store"))
+    body = "Snow melts early on dark ice and the season grows longer every year. " * 60
+    for name, title, doi in (("a/1.md", "Glacier albedo", "x"), ("b/2.md", "Another name", "x"), ("c/3.md", "Soot on snow", "y"), ("d/4.md", "The soot on snow", "z")):
+        put(root, name, PAPER.format(title=title, doi=doi, body=body).encode())
+    put(root, "e/5.md", b" \n")
+    scan = lambda: files.library(spark, str(root), ("md",), content=True).select("path", "mtime", files.file_text(F.col("content")).alias("text"))
+    run = lambda **how: workflow.index_library(store, "papers", scan(), embedding.HashEmbedder(16), limit=100, overlap=10, tag_words={"ice": ["snow"]}, **how)
+    first = run()
+    assert (first.seen, first.skipped, first.duplicates, first.indexed, first.failed) == (5, 0, 2, 2, 1) and first.chunks > 10 and len(first.errors) == 1
+    chunks = workflow.chunk_collection(store, "papers").read()
+    one = chunks.where("chunk_index = 0").orderBy("title").collect()
+    assert [(r.title, r.authors, r.year, r.tags, len(r.vector)) for r in one] == [("Glacier albedo", "Ann Bee, Cy Dee", "2019", "ice", 16), ("Soot on snow", "Ann Bee, Cy Dee", "2019", "ice", 16)]
+    assert chunks.count() == first.chunks and one[0].text.startswith("Title: Glacier albedo")
+    again = run()
+    assert (again.seen, again.skipped, again.indexed, again.failed, again.chunks) == (5, 4, 0, 1, 0)
+    put(root, "f/6.md", PAPER.format(title="A third one", doi="y", body=body).encode())
+    put(root, "g/7.md", PAPER.format(title="New work", doi="w", body=body).encode())
+    more = run()
+    assert (more.skipped, more.duplicates, more.indexed) == (4, 1, 1)
+    state = workflow.State(store, "papers")
+    assert state.stats()["indexed"] == 6 and store.names() == ["papers", "papers_duplicates", "papers_state"]
+    state.remove(state.read().where("path like '%/7.md'"))
+    assert run().indexed == 1 and run(force=True).indexed == 3
+    state.clear()
+    assert state.stats()["indexed"] == 0
+    from paperloom.__main__ import main
+
+    there = ["--store", str(tmp_path / "store")]
+    assert main([*there, "--name", "cli", "index", str(root)])["indexed"] == 3
+    assert main([*there, "--name", "cli", "search", "albedo", "--top-k", "1"])[0]["title"] == "Glacier albedo"
+    assert main([*there, "--name", "cli", "stats"])["indexed"] == 6
