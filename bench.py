@@ -9,7 +9,7 @@ import time
 from paperloom import get_spark
 from paperloom.plans import registry
 
-HEADLINE = ("bm25_topk", "dense_topk_multi", "hybrid_rrf", "hybrid_alpha", "filtered_hybrid", "search_with_rerank", "rag_prompt", "word_window_chunks", "hash_embedding", "exact_duplicates", "title_groups", "incremental_new", "collection_stats")
+HEADLINE = ("bm25_topk", "search_batch", "dense_topk_multi", "hybrid_rrf", "hybrid_alpha", "filtered_hybrid", "search_with_rerank", "rag_prompt", "ann_topk", "word_window_chunks", "hash_embedding", "exact_duplicates", "title_groups", "incremental_new", "collection_stats")
 
 
 def main() -> None:
@@ -18,6 +18,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     registry.QUERIES["collection_stats"](spark, sf_dir).collect()
     took = {}
+    # the keyword index is built once and stored; the queries below are warm, as they read it
+    began = time.perf_counter()
+    registry.index(spark, sf_dir)
+    took["index_build"] = round(time.perf_counter() - began, 3)
     for name in HEADLINE:
         began = time.perf_counter()
         registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
