@@ -23,9 +23,13 @@ class KeywordIndex:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._corpus: dict | None = None
+        self._frames: dict[str, DataFrame] = {}
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        """A part of the index; its files are listed once, until something is written."""
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}")
+        return self._frames[name]
 
     def _bucket(self, term: str, buckets: int) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
@@ -46,6 +50,7 @@ class KeywordIndex:
         # a frequent term's bucket is dealt over several tasks, and so files, by document
         dealt = counted.withColumn("bucket", self._bucket("term", buckets)).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
         dealt.sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
+        self._frames.clear()
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
         """Index documents whose id is new; their number. Term weights are renewed at once, so none is ever stale."""
@@ -92,11 +97,11 @@ class KeywordIndex:
         A blank query finds nothing. among: the ids that count, in ``doc_id``; weights are still the whole corpus's.
         """
         words = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        if queries.count() > MOST_QUERIES:
-            raise ValueError(f"at most {MOST_QUERIES} queries at a time")
         c = self.corpus
         asked = words.withColumn("bucket", self._bucket("term", c["buckets"]))
-        wanted = [r[0] for r in asked.select("bucket").distinct().collect()]
+        n, wanted = asked.agg(F.countDistinct("query_id"), F.collect_set("bucket")).first()
+        if n > MOST_QUERIES:
+            raise ValueError(f"at most {MOST_QUERIES} queries at a time")
         if not wanted or c["mean_idf"] is None:
             return self.spark.createDataFrame([], "doc_id long, score double").join(queries.select("query_id").limit(0)).select("query_id", "doc_id", "score")
         weight = F.when(F.col("idf") < 0, EPSILON * c["mean_idf"]).otherwise(F.col("idf"))
