@@ -149,3 +149,23 @@ def instruments(c: Column, patterns: dict[str, str]) -> Column:
 
 def data_uri(data: Column, kind: str) -> Column:
     return F.concat(F.lit(f"data:image/{kind};base64,"), F.base64(data))
+
+
+def uri_bytes(c: Column) -> Column:
+    """The bytes of a data URI; null for other strings."""
+    return F.when(c.rlike("^data:[^,]*;base64,"), F.unbase64(F.split_part(c, F.lit(","), F.lit(2))))
+
+
+def paper_of_chunk(c: Column) -> Column:
+    """What stands before the last ``_chunk_`` of a chunk's id; the id itself without one."""
+    return F.regexp_replace(c, "(?s)_chunk_((?!_chunk_).)*$", "")
+
+
+def paper_of_part(c: Column) -> Column:
+    """What stands before the first hyphen of a chunk's id."""
+    return F.substring_index(c, "-", 1)
+
+
+def three_places(c: Column) -> Column:
+    """A score as shown to readers."""
+    return F.format_string("%.3f", c)

@@ -203,6 +203,17 @@ def search_results(spark, d):
     return e.results(hits, ["lang", "source"])
 
 
+@query(f"""WITH {BATCH_LEGS.replace("<= 20", "<= 100")}, f AS (SELECT query_id, doc_id, round(sum(p), 9) AS score FROM (SELECT query_id, doc_id, 0.7e0 / (60 + rank) AS p FROM d20 UNION ALL SELECT query_id, doc_id, 0.3e0 / (60 + rank) FROM s20) GROUP BY ALL),
+c AS (SELECT query_id, doc_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 50),
+w AS (SELECT query_id, list_filter(list_distinct(string_split(q, ' ')), lambda x: x <> '') AS w FROM (VALUES {_BATCH_SQL}) v(query_id, q)),
+r AS (SELECT query_id, doc_id, round(coalesce(len(list_intersect(w, {TOKENS})) / len(w)::DOUBLE * CASE WHEN list_bool_or(list_transform(w, lambda x: contains(lower(split_part(text, chr(10), 1)), x))) THEN 2e0 ELSE 1e0 END
+* CASE WHEN list_bool_or(list_transform(w, lambda x: contains(lower(substr(text, 61, 300)), x))) THEN 1.5e0 ELSE 1e0 END, 0e0), 6) AS score FROM c JOIN w USING (query_id) LEFT JOIN documents USING (doc_id))
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, score FROM r QUALIFY rank <= 10""")
+def search_rerank_boost(spark, d):
+    """Fifty hybrid candidates of each query, by the share of its terms that they have, boosted by title and abstract."""
+    return engine(spark, d).search_reranked(batch(spark, d), boost=True)
+
+
 def _filtered(name, tree, where):
     def f(spark, d):
         return read(spark, d, "documents").where(filters.text_filter(tree, F.col("text"))).select("doc_id")
@@ -341,6 +352,7 @@ _projected("extract_authors", lambda: F.array_join(tx.author_list(F.col("title")
 _projected("extract_title", lambda: tx.pdf_title(F.col("text")), None)
 # every third text begins with a DOI; the others may hold one of their own, which the same patterns find
 _projected("extract_doi", lambda: tx.doi(F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("doi: 10.1234/x"), F.col("doc_id").cast("string"), F.lit(".\n"))).otherwise(""), F.col("text"))), "CASE WHEN doc_id % 3 = 0 THEN '10.1234/x' || doc_id ELSE regexp_replace(nullif(regexp_extract(substr(text, 1, 2000), '(^|[^0-9A-Za-z_])(10[.][0-9]{4,}/[^ \t\n]+)', 2), ''), '[.,;)\\]]+$', '') END")
+_projected("chunk_paper", lambda: F.concat_ws("|", tx.paper_of_chunk(F.concat("source", F.lit("_chunk_"), F.col("doc_id").cast("string"))), tx.paper_of_part(F.concat("lang", F.lit("-"), "source", F.lit("-1"))), tx.three_places(F.col("n_chars") / 8)), "source || '|' || lang || '|' || printf('%.3f', n_chars / 8.0::DOUBLE)")
 _projected("pdf_date_year", lambda: tx.pdf_date_year(F.concat(F.lit("D:"), F.year("o_orderdate").cast("string"), F.lit("0101"))), "year(o_orderdate)::INT", "orders", "o_orderkey")
 _projected("embedding_text", lambda: F.concat_ws("\n\n", F.concat(F.lit("Title: "), "title"), F.concat(F.lit("Keywords: "), F.array_join(F.sort_array(F.array_union(F.array("lang", "source"), F.array("lang"))), ", ")), F.concat(F.lit("Content: "), "text")), f"'Title: ' || {TITLE} || chr(10) || chr(10) || 'Keywords: ' || array_to_string(list_sort(list_distinct([lang, source])), ', ') || chr(10) || chr(10) || 'Content: ' || text")
 
@@ -574,7 +586,7 @@ def sync_retry(spark, d):
 
 
 PACK = f"""WITH {BM25}, h AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm25 QUALIFY rank <= 5),
-p AS (SELECT rank, doc_id, CASE WHEN length({STRIPPED}) <= 1000 THEN {STRIPPED} ELSE regexp_replace(substr({STRIPPED}, 1, 1000), ' [^ ]*$', '') || '...' END AS passage FROM h JOIN documents USING (doc_id)),
+p AS (SELECT rank, doc_id, CASE WHEN length({STRIPPED}) <= 500 THEN {STRIPPED} ELSE regexp_replace(substr({STRIPPED}, 1, 500), ' [^ ]*$', '') || '...' END AS passage FROM h JOIN documents USING (doc_id)),
 k AS (SELECT *, coalesce(sum(length(passage)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p WHERE passage <> ''),
 kept AS (SELECT row_number() OVER (ORDER BY rank)::INT AS label, doc_id, passage FROM k WHERE b < 2500) """
 
@@ -582,7 +594,7 @@ kept AS (SELECT row_number() OVER (ORDER BY rank)::INT AS label, doc_id, passage
 def _packed(spark, d):
     docs = documents(spark, d)
     hits = search.ranked(index(spark, d).best(QUERY, 5), 5)
-    return catalog.pack_context(docs.select("doc_id", "text").join(F.broadcast(hits), "doc_id"), 2500, 1000).select("label", "doc_id", "passage")
+    return catalog.pack_context(docs.select("doc_id", "text").join(F.broadcast(hits), "doc_id"), 2500, api.passage_limit(2500, 5)).select("label", "doc_id", "passage")
 
 
 @query(PACK + "SELECT * FROM kept")

@@ -109,6 +109,12 @@ def test_paragraph_and_sentence_packers(spark):
     (extract.markdown_doi, "**DOI:** https://doi.org/10.1/a(b)", "https://doi.org/10.1/a(b)"),
     (lambda c: extract.markdown_year(c, F.lit("2011/paper_1999.md")), "no date", 1999),
     (lambda c: extract.markdown_year(c, F.lit("x")), "Published: May 2003", 2003),
+    (lambda c: tx.uri_bytes(tx.data_uri(c.cast("binary"), "png")).cast("string"), "a,b", "a,b"),
+    (tx.uri_bytes, "http://a,b", None),
+    (tx.paper_of_chunk, "a_chunk_b_chunk_12", "a_chunk_b"),
+    (tx.paper_of_chunk, "a_b", "a_b"),
+    (tx.paper_of_part, "k-1-2", "k"),
+    (lambda c: tx.three_places(c.cast("double")), "0.12345", "0.123"),
     (tx.tokens, "A\u00a0b\u2003C\x1cd", ["a", "b", "c", "d"]),
     (lambda c: tx.instruments(c, {"m": r"\bMERIS\b"}), "äMERIS MERIS.", ["m"]),
     (lambda c: tx.instruments(c, {"m": r"\bMERIS\b"}), "äMERIS MERISé", []),
