@@ -96,7 +96,7 @@ class SearchEngine:
         dense = sparse = None
         if options.mode != "sparse":
             vectors = self.vectors if among is None else self.vectors.join(among, F.col("vec_id") == F.col("doc_id"), "left_semi")
-            dense = _ranked(search.dense(vectors, asked.select("query_id", "vector")), fetch)
+            dense = search.dense_best(vectors, asked, fetch)
         if options.mode == "sparse" or options.mode == "hybrid":
             sparse = _ranked(self.index.scores(asked.select("query_id", "query"), among), fetch)
         if sparse is None or dense is None:

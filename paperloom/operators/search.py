@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,6 +49,41 @@ def dense(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     return vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("_v")).join(F.broadcast(queries)).select("query_id", "doc_id", F.round((1 + cosine(F.col("_v"), F.col("vector"))) / 2, 6).alias("score"))
 
 
+def dense_best(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``query_id, doc_id, score, rank``: the best k of each query, by an exact scan.
+
+    A batch of vectors meets all queries in one matrix product and gives on only its own best k of each, so neither a
+    row for each pair nor more than k rows of a batch and query are ever shuffled. Null vectors and zero ones have none.
+    """
+    asked = queries.select("query_id", "vector").limit(10_001).collect()
+    if len(asked) > 10_000:
+        raise ValueError("dense scoring takes at most 10000 queries at a time")
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[id_col]
+    ids = [r["query_id"] for r in asked]
+    m = np.array([r["vector"] for r in asked], dtype=float)
+
+    def best(batches):
+        import pandas as pd
+
+        # one query's scores at a time: a batch's matrix with all queries could be large
+        unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if len(m) else m
+        for rows in batches:
+            if not len(rows) or not len(unit):
+                continue
+            v, docs = np.array(rows["v"].tolist(), dtype=float), rows["doc_id"].to_numpy()
+            norms = np.linalg.norm(v, axis=1)
+            v, docs = v[norms > 0] / norms[norms > 0, None], docs[norms > 0]
+            for query, u in zip(ids, unit):
+                score = (1 + v @ u) / 2
+                first = np.lexsort((docs, -np.round(score, 6)))[:k]
+                yield pd.DataFrame({"query_id": query, "doc_id": docs[first], "score": score[first]})
+
+    rows = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull() & F.col("doc_id").isNotNull())
+    found = rows.mapInPandas(best, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double").withColumn("score", F.round("score", 6))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top(df: DataFrame, k: int, score: str = "score", id_col: str = "doc_id") -> DataFrame:
     return df.orderBy(F.desc(score), id_col).limit(k)
 

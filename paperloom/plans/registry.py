@@ -90,7 +90,7 @@ def dense_scores(spark, d):
 
 
 def legs(spark, d, k=20):
-    return search.ranked(dense_scores(spark, d), k), search.ranked(index(spark, d).best(QUERY, k), k)
+    return search.dense_best(read(spark, d, "embeddings"), query_vector(spark, d), k).drop("query_id"), search.ranked(index(spark, d).best(QUERY, k), k)
 
 
 @query(f"WITH {BM25} SELECT * FROM bm25")
@@ -105,14 +105,13 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {DENSE} SELECT * FROM dense ORDER BY score DESC, doc_id LIMIT 10")
 def dense_topk(spark, d):
-    return search.top(dense_scores(spark, d), 10)
+    return search.dense_best(read(spark, d, "embeddings"), query_vector(spark, d), 10).select("doc_id", "score")
 
 
 @query("""SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round((1 + list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])) / 2, 6) AS score
 FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 1, 2) QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 5""")
 def dense_topk_multi(spark, d):
-    scored = search.dense(read(spark, d, "embeddings"), query_vector(spark, d, (0, 1, 2)))
-    return scored.withColumn("rn", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where("rn <= 5").drop("rn")
+    return search.dense_best(read(spark, d, "embeddings"), query_vector(spark, d, (0, 1, 2)), 5).drop("rank")
 
 
 RRF = f"""WITH {BM25}, {DENSE}, {LEGS}, parts AS (SELECT doc_id, %s / (60 + rank) AS p FROM d20 UNION ALL SELECT doc_id, %s / (60 + rank) FROM s20),

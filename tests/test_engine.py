@@ -212,3 +212,35 @@ def test_search_options_and_pages(spark):
     assert [r["id"] for r in rows.collect()] == [5, 6] and info == {"total_results": 7, "offset": 5, "limit": 3, "returned": 2, "has_more": False}
     assert api.page(spark.range(7), ["id"], limit=0, offset=-1)[1] == {"total_results": 7, "offset": 0, "limit": 1, "returned": 1, "has_more": True}
     assert [api.passage_limit(*x) for x in ((0, 3), (4000, 3), (100, 3), (9000, 2))] == [1500, 1333, 256, 1500]
+
+
+def test_dense_best_equals_plain_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    v = r.normal(size=(200, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(500, None), (501, [0.0] * 8), (502, v[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([("a", v[7].tolist()), ("b", v[9].tolist())], "query_id string, vector array<double>")
+    got = search.dense_best(df, asked, 6).orderBy("query_id", "rank").collect()
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for name, at in (("a", 7), ("b", 9)):
+        score = {i: round(float(1 + unit[i] @ unit[at]) / 2, 6) for i in range(200)}
+        score[502] = score[7]
+        want = sorted(score, key=lambda i: (-score[i], i))[:6]
+        assert [(x["doc_id"], x["rank"]) for x in got if x["query_id"] == name] == [(i, k + 1) for k, i in enumerate(want)]
+        assert all(abs(x["score"] - score[x["doc_id"]]) < 2e-6 for x in got if x["query_id"] == name)
+    assert search.dense_best(df.limit(0), asked, 3).count() == 0 and search.dense_best(df, asked.limit(0), 3).count() == 0
+
+
+def test_reranked_search_keeps_candidates_without_a_document(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "ice and snow", "Ice", ""), (2, "snow", "Soot", "on ice"), (3, "rain", "", None)], "doc_id long, text string, title string, abstract string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (9, [1.0, 0.05])], "vec_id long, embedding array<double>")
+    e = api.SearchEngine(docs, vectors, KeywordIndex.build(docs, str(tmp_path / "index"), buckets=4))
+    asked = spark.createDataFrame([(0, "ice snow", [1.0, 0.0]), (1, "  ", [1.0, 0.0])], "query_id long, query string, vector array<double>")
+    got = [(r["query_id"], r["doc_id"], r["score"]) for r in e.search_reranked(asked, api.Options(top_k=3), boost=True).orderBy("rank").collect()]
+    assert got == [(0, 1, 2.0), (0, 2, 0.75), (0, 9, 0.0)]
+    only = e.search(asked, api.Options(filters={"doc_id": {"$ne": 1}}, text_filter='{"$contains": "snow"}')).collect()
+    assert [r["doc_id"] for r in only] == [2]
+    hits = e.results(e.search(asked, api.Options(mode="dense", top_k=2)), ["title"]).orderBy("rank").collect()
+    assert [(r["doc_id"], r["title"], r["excerpt"]) for r in hits] == [(1, "Ice", "ice and snow"), (9, None, None)]
