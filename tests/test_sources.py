@@ -163,6 +163,8 @@ def test_index_library(spark, tmp_path):
     body = "Snow melts early on dark ice and the season grows longer every year. " * 60
     for name, title, doi in (("a/1.md", "Glacier albedo", "x"), ("b/2.md", "Another name", "x"), ("c/3.md", "Soot on snow", "y"), ("d/4.md", "The soot on snow", "z")):
         put(root, name, PAPER.format(title=title, doi=doi, body=body).encode())
+        # of equal versions the one changed last wins, so the files are of one time and the first path does
+        os.utime(root / name, (1_700_000_000, 1_700_000_000))
     put(root, "e/5.md", b" \n")
     scan = lambda: files.library(spark, str(root), ("md",), content=True).select("path", "mtime", files.file_text(F.col("content")).alias("text"))
     run = lambda **how: workflow.index_library(store, "papers", scan(), embedding.HashEmbedder(16), limit=100, overlap=10, tag_words={"ice": ["snow"]}, **how)
