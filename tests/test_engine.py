@@ -166,6 +166,46 @@ def test_fuzzy_pairs_over_many_blocks(spark):
         assert set(got) == want and len(got) == len(want) > 20
 
 
+def test_compared_titles_match_difflib_around_its_rule_for_frequent_characters():
+    import pandas as pd
+
+    r = random.Random(5)
+    kinds = ["abcdefgh ", "etaoin " * 30 + "qwxyzbc1234", "".join(chr(0x4E00 + k) for k in range(300))]
+    base = ["".join(r.choices(kinds[k % 3], k=n)) for k in range(9) for n in (3, 20, 150, 196, 205, 420)]
+    titles = sorted({*base, *("".join(r.choice(t) if r.random() < p else c for c in t) for t in base for p in (0.01, 0.05, 0.1)), *("".join(t[k : k + 9] + "#" for k in range(0, len(t), 9)) for t in base)})
+    r.shuffle(titles)
+    rows = pd.DataFrame({"id": range(len(titles)), "t": titles, "side": [k % 2 == 0 for k in range(len(titles))]})
+    ratio = lambda i, j: difflib.SequenceMatcher(None, titles[i], titles[j]).ratio()
+    near = lambda i, j: 0.9 * max(len(titles[i]), len(titles[j])) <= 1.1 * min(len(titles[i]), len(titles[j]))
+    want = {(i, j, round(x, 6)) for i in range(len(titles)) for j in range(i + 1, len(titles)) if near(i, j) and (x := ratio(i, j)) >= 0.9}
+    assert set(dedup.compared(rows, False, 0.9, False).itertuples(index=False, name=None)) == want and len(want) > 50
+    assert set(dedup.compared(rows, True, 0.9, False).itertuples(index=False, name=None)) == {x for x in want if (x[0] - x[1]) % 2}
+    few = set(dedup.compared(rows, False, 0.9, True).itertuples(index=False, name=None))
+
+    def groups(pairs):
+        label = list(range(len(titles)))
+        for a, b, _ in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(k for k, x in enumerate(label) if x == y) for y in label}
+
+    assert few <= want and groups(few) == groups(want)
+
+
+def test_many_titles_are_compared_in_little_time():
+    import time
+
+    import pandas as pd
+
+    r = random.Random(6)
+    parts = ["".join(r.choices("etaoinshrdlucmfw ", k=3)) for _ in range(400)]
+    titles = sorted({"".join(r.choices(parts, k=50)) for _ in range(3000)})
+    titles.append(titles[7][:-2] + "xy")
+    began = time.process_time()
+    # 4.5 million pairs
+    got = dedup.compared(pd.DataFrame({"id": range(len(titles)), "t": titles, "side": False}), False, 0.9, False)
+    assert (7, len(titles) - 1) in set(zip(got["a"], got["b"])) and time.process_time() - began < 10
+
+
 def test_deduplicate_by_doi_and_title(spark):
     rows = [
         (1, "Glacier albedo feedback", "10.1/a", None, False, 2001, "x", 1), (2, "Something else", "10.1/a", "Nature", False, 1999, None, 1),
