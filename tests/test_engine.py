@@ -206,6 +206,14 @@ def test_many_titles_are_compared_in_little_time():
     assert (7, len(titles) - 1) in set(zip(got["a"], got["b"])) and time.process_time() - began < 10
 
 
+def test_edges_connect_a_group_of_near_copies_without_all_its_pairs(spark):
+    titles = ["glacier albedo feedback and soot on snow " + chr(97 + k) for k in range(1, 26)]
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(titles)], "doc_id long, title string, doi string")
+    got = dedup.edges(df).collect()
+    assert len(got) == len(titles) - 1 and {r["a"] for r in got} | {r["b"] for r in got} == set(range(len(titles)))
+    assert dedup.fuzzy_pairs(df).count() == len(titles) * (len(titles) - 1) // 2
+
+
 def test_deduplicate_by_doi_and_title(spark):
     rows = [
         (1, "Glacier albedo feedback", "10.1/a", None, False, 2001, "x", 1), (2, "Something else", "10.1/a", "Nature", False, 1999, None, 1),
