@@ -206,6 +206,22 @@ def test_many_titles_are_compared_in_little_time():
     assert (7, len(titles) - 1) in set(zip(got["a"], got["b"])) and time.process_time() - began < 10
 
 
+def test_titles_of_one_length_and_alphabet_are_told_apart_in_little_time():
+    import time
+
+    import pandas as pd
+
+    r = random.Random(7)
+    parts = ["".join(r.choices("etaoinshrdlucmfw ", k=3)) for _ in range(400)]
+    titles = sorted({"".join(r.choices(parts, k=40)) for _ in range(12000)})
+    titles.append(titles[7][:-2] + "xy")
+    rows = pd.DataFrame({"id": range(len(titles)), "t": titles, "side": False})
+    began = time.process_time()
+    # 72 million pairs
+    got = dedup.compared(rows, False, 0.9, True)
+    assert (7, len(titles) - 1) in set(zip(got["a"], got["b"])) and time.process_time() - began < 8
+
+
 def test_edges_connect_a_group_of_near_copies_without_all_its_pairs(spark):
     titles = ["glacier albedo feedback and soot on snow " + chr(97 + k) for k in range(1, 26)]
     df = spark.createDataFrame([(k, t, None) for k, t in enumerate(titles)], "doc_id long, title string, doi string")
